@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets
+from . import decontaminate, jaccard, mixing, secrets
 
 QUERIES = {
     "op2_mix": mixing.op2,
     "op4_decontaminate": decontaminate.op4,
     "op7_secrets": secrets.op7,
+    "op8_jaccard": jaccard.op8,
 }
 ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
 }
 
 
