@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, secrets
+from . import decontaminate, jaccard, mixing, ppm, secrets
 
 QUERIES = {
     "op2_mix": mixing.op2,
+    "op3_ppm": ppm.op3,
     "op4_decontaminate": decontaminate.op4,
     "op7_secrets": secrets.op7,
     "op8_jaccard": jaccard.op8,
