@@ -194,7 +194,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
     one = stored(one, "chosen")
     blocks = one.groupBy("c").agg(F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count("*") / block_sets)).cast("int").alias("nb"))
     wanted = one.join(blocks, "c").select("rep", "c", "nb", F.col("d.t").alias("t"), F.col("d.doc_id").alias("chosen"))
-    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted, "t").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("rep", "c", "nb", "text")
+    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted.hint("merge"), "t").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("rep", "c", "nb", "text")
     sets = texts.mapInArrow(_sets, "rep bigint, c bigint, nb int, features binary")
     block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
