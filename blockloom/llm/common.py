@@ -79,8 +79,3 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
 
 
 
-def filesystem(uri: str):
-    """The store and the path in it of a URI that driver and executors reach."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, ppm, secrets
+from . import decontaminate, jaccard, mixing, ppm, secrets, token_counts, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
     "op2_mix": mixing.op2,
     "op3_ppm": ppm.op3,
     "op4_decontaminate": decontaminate.op4,
+    "op6_token_counts": token_counts.op6,
     "op7_secrets": secrets.op7,
     "op8_jaccard": jaccard.op8,
 }
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op8_jaccard": jaccard.OP8_SQL,
 }
