@@ -169,6 +169,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
     return search(index, items, window).withColumn("contaminated", F.size("items") >= min_items)
 
 
+def keep_unseen(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
+    """The documents with windows of fewer than min_items test items, with all their columns. Rows without an id can't be looked up and stay."""
+    found = decontaminate(docs, items, window, min_items).where("contaminated").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The op4 query: benchmark items found in all documents."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -148,6 +148,14 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", word_count(F.col("text")))
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """A row per draw of a mix of the documents: their columns, epoch, shard, words and position. Where a draw takes a part of a text, text has these words, joined by spaces, and n_chars counts them."""
+    rows = mix(plan(stored(sized(docs), "mix-sized")))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).drop("size", "taken")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The op2 query: words that the mix takes from each document."""
     sizes = stored(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "mix-sizes")
