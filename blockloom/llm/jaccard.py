@@ -209,7 +209,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents less all but the first of each component. Of rows with one id, one stays; rows without an id stay."""
     kept = join(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    return docs.where(F.col(id_col).isNotNull()).join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
