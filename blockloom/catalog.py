@@ -253,7 +253,7 @@ for _name, _layout, _e in (("default", "Default", "q"), ("flat", "Flat", "m"), (
 
 @query("o34_estimate_q", _TABS + """, p AS (SELECT quality, cmp, avg(100.0 * q / b) AS p, bool_and(q = 1) AS ones FROM d JOIN base USING (cmp, k) GROUP BY ALL),
 e AS (SELECT quality, cmp, ones, round(CASE WHEN p <= 100 THEN (200 - p) / 2 ELSE 5000 / p END) AS e FROM p)
-SELECT CAST(quality AS INTEGER) AS quality, CAST(CASE WHEN bool_and(ones) THEN 100 WHEN min(e) = max(e) THEN min(e) END AS INTEGER) AS estimate FROM e GROUP BY quality""")
+SELECT CAST(quality AS INTEGER) AS quality, CAST(CASE WHEN bool_and(ones) THEN 100 WHEN min(e) = max(e) THEN min(e) ELSE -1 END AS INTEGER) AS estimate FROM e GROUP BY quality""")
 def o34(spark, sf):
     return codec.estimate_quality(table_rows(spark, "Default"))
 

@@ -62,12 +62,12 @@ def geometry(df: DataFrame, h: int, v: int) -> DataFrame:
 
 
 def estimate_quality(tables: DataFrame) -> DataFrame:
-    """tables: quality, cmp, k, q. The quality that both tables round to; null if they differ."""
+    """tables: quality, cmp, k, q. The quality that both tables round to; -1 if they differ."""
     base = [(c, k, t[r]) for c, t in ((0, T.LUMA), (1, T.CHROMA)) for k, r in enumerate(T.ZIGZAG)]
     both = tables.join(F.broadcast(tables.sparkSession.createDataFrame(base, "cmp int, k int, b int")), ["cmp", "k"])
     p = both.groupBy("quality", "cmp").agg(F.avg(100.0 * F.col("q") / F.col("b")).alias("p"), F.bool_and(F.col("q") == 1).alias("ones"))
     p = p.withColumn("e", F.round(F.when(F.col("p") <= 100, (200 - F.col("p")) / 2).otherwise(5000 / F.col("p"))))
-    return p.groupBy("quality").agg(F.when(F.bool_and("ones"), 100).when(F.min("e") == F.max("e"), F.min("e")).cast("int").alias("estimate"))
+    return p.groupBy("quality").agg(F.when(F.bool_and("ones"), 100).when(F.min("e") == F.max("e"), F.min("e")).otherwise(-1).cast("int").alias("estimate"))
 
 
 def psnr(pairs: DataFrame) -> DataFrame:

@@ -169,8 +169,8 @@ def png_decode(data: bytes) -> np.ndarray:
 def read_pictures(spark: SparkSession, folder: str, kind: str, width: int, height: int) -> DataFrame:
     """frame, planes (R, G, B) of numbered files, up to the first gap; numbering begins at 0 if that file exists, else at 1. Sizes must be as declared."""
     files = spark.read.format("binaryFile").load(f"{folder}/*.{kind}").withColumn("frame", F.regexp_extract("path", rf"([0-9]+)\.{kind}$", 1).cast("int"))
-    numbers = files.select("frame").withColumn("i", F.row_number().over(Window.orderBy("frame")) - 1)
-    whole = numbers.where((F.col("frame") - F.col("i")) == F.least(F.lit(1), F.min("frame").over(Window.partitionBy()))).select("frame")
+    numbers = files.select("frame").withColumns({"i": F.row_number().over(Window.orderBy("frame")) - 1, "first": F.min("frame").over(Window.partitionBy())})
+    whole = numbers.where((F.col("frame") - F.col("i") == F.col("first")) & (F.col("first") <= 1)).select("frame")
     decoder = {"bmp": bmp_decode, "png": png_decode}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
