@@ -85,7 +85,7 @@ def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
             return F.array_append(done, hypergeometric(_uniform(F.lit(seed), F.col("low"), F.col("high"), i), rest_n, F.element_at("q", i), rest_m))
 
         nodes = nodes.withColumns({"share": share, "all": total(F.col("q")), "mid": mid})
-        left = F.when(F.col("high") - F.col("low") > 1, F.aggregate(F.sequence(F.lit(1), F.size("q")), F.array().cast("array<bigint>"), draw)).otherwise(F.col("q"))
+        left = F.when(F.col("high") - F.col("low") > 1, F.aggregate(F.slice(F.sequence(F.lit(0), F.size("q")), F.lit(2), F.size("q")), F.array().cast("array<bigint>"), draw)).otherwise(F.col("q"))
         halves = _let(left, lambda l: F.array(F.struct(l.alias("q"), F.col("low"), F.when(F.col("high") - F.col("low") > 1, F.col("mid")).otherwise(F.col("high")).alias("high")), F.struct(F.zip_with("q", l, lambda a, b: a - b).alias("q"), F.col("mid").alias("low"), F.col("high"))))
         nodes = nodes.select(F.explode(halves).alias("h")).select("h.q", "h.low", "h.high").where("low < high").where((F.col("high") - F.col("low") > 0))
         nodes = nodes.dropDuplicates(["low", "high"]) if shards & (shards - 1) else nodes

@@ -43,7 +43,7 @@ def symbols(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndar
     ends = np.cumsum(n + order + 1)
     keep = np.ones(len(code), bool)
     for i in range(order):  # what would predict the marks before the next text
-        keep[(ends[:-1] + i)] = False
+        keep[ends[:-1] - 1 - i] = False
     return code[keep], n + 1
 
 
