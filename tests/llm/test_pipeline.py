@@ -3,7 +3,7 @@
 import duckdb
 
 import corpus_pipeline as cp
-from blockloom.llm import decontaminate, jaccard, registry, secrets, warc
+from blockloom.llm import decontaminate, registry, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,13 +32,12 @@ def test_stages(spark):
         docs = spark.read.parquet(path)
         assert docs.columns == columns and docs.dtypes == before.dtypes
         assert 0.5 * n < docs.count() <= before.count()
-    assert jaccard.join(docs).where("doc_id <> component_id").count() <= secrets.scan(before).where("spans <> ''").count()
     assert decontaminate.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0 and size(items) > 0").count() == 0
     assert secrets.scan(docs).where("n_assign + n_access + n_hex > 0").count() == 0
     assert all(r.n_chars == len(r.text) for r in docs.collect())
 
 
 def test_run(spark):
-    out = cp.run(spark, SF).collect()
-    assert out and all(r.words > 0 and r.taken if hasattr(r, "taken") else True for r in out)
-    assert warc.LEAST == 1000
+    out = cp.run(spark, SF)
+    assert {"shard", "epoch", "words", "position"} <= set(out.columns)
+    assert out.count() > 0 and out.where("words <= 0 or text is null").count() == 0
