@@ -5,8 +5,11 @@ that was seen; a miss costs that context's escape (half its number of distinct s
 in the next shorter one, where the symbols of the longer one are excluded. A symbol's cost depends on the bytes before it only,
 so a pretrained trie scores all positions of a batch at once; with adaptive=True a text's own counts are added as it is read.
 
-Counts of grams and of words are summed over all training texts, grouped by key, with partial sums in each task. The trie goes
-to the executors if its top level has at most max_nodes grams (16 bytes each); else a lower order is taken, and order 1 always fits.
+Counts of grams and of words are summed over all training texts, grouped by key, with partial sums in each task. The model has
+the same order and the same grams at every size; what goes to the executors is bounded. If the top level has at most max_nodes
+grams, that is the whole trie. Else it is the trie of the longest contexts that fit (order 1 always does) and the most frequent
+grams of the top level (at most head_grams); all other grams of the texts are priced once each by joins with the stored levels,
+from the longest contexts down, and the prices are joined to the texts. Both ways give the same scores.
 Of the words, the most frequent (at most head_words) go to the executors; the rest are joined by hash, once per text and word.
 
 Cases: a null text is empty: one end token, and one end symbol. A null id counts as the empty string for the split. Without
@@ -21,13 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, hash_words, stored, table, text_chunks, utf8
 
-ORDER, END, BITS = 4, 256, 9
+ORDER, END, BITS = 5, 256, 9
 WORD, GRAM = 0, 1
 
 
@@ -89,51 +92,71 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, sorted_[i] == x if len(sorted_) else np.zeros(len(x), bool)
 
 
+def _mask(k: int) -> int:
+    """Bits of a code's last k + 1 symbols."""
+    return (1 << BITS * (k + 1)) - 1
+
+
+class Costs:
+    """Costs by gram: a hash table, and the sorted grams for those that lost a slot to a more frequent one."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, costs: np.ndarray):
+        self.keys, self.all = keys, costs.astype(np.float32)
+        self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 2))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.costs = np.zeros(len(self.slots), np.float32)
+        rare_first = np.argsort(n, kind="stable")
+        slot = self._slot(keys[rare_first])
+        self.slots[slot] = keys[rare_first]
+        self.costs[slot] = self.all[rare_first]
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def get(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs (0 for unknown grams), and where the unknown ones are."""
+        slot = self._slot(codes)
+        miss = np.flatnonzero(self.slots[slot] != codes)
+        out = self.costs[slot].astype(np.float64)
+        i, ok = _find(self.keys, codes[miss])
+        out[miss[ok]] = self.all[i[ok]]
+        out[miss[~ok]] = 0
+        return out, miss[~ok]
+
+
 class Trie:
     """Static PPM model of gram counts."""
 
     def __init__(self, grams: np.ndarray, n: np.ndarray, order: int):
         self.order, self.levels = order, []
         for k in range(order, -1, -1):
-            keys, c = _merged([(grams & ((1 << BITS * (k + 1)) - 1), n)])
+            keys, c = _merged([(grams & _mask(k), n)])
             ctx, first = np.unique(keys >> BITS, return_index=True)
             self.levels.insert(0, [keys, c, ctx, np.add.reduceat(c, first) if len(c) else c, np.diff(np.r_[first, len(keys)]), None])
         for k in range(1, order + 1):  # counts, in the next shorter context, of the symbols that a context has
             keys, _, ctx, _, _, _ = self.levels[k]
             below = self.levels[k - 1]
-            mass = below[1][_find(below[0], keys & ((1 << BITS * k) - 1))[0]] if len(keys) else keys
+            mass = below[1][_find(below[0], keys & _mask(k - 1))[0]] if len(keys) else keys
             self.levels[k][5] = np.add.reduceat(mass, np.searchsorted(keys >> BITS, ctx)) if len(keys) else mass
         keys, c, ctx, total, distinct, _ = self.levels[order]
         at = np.searchsorted(ctx, keys >> BITS)
-        self.top = np.log10((c - 0.5) / total[at]).astype(np.float32) if len(keys) else np.zeros(0, np.float32)
-        self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 2))
-        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int64)
-        self.costs = np.zeros(len(self.slots), np.float32)
-        rare_first = np.argsort(c, kind="stable")
-        slot = self._slot(keys[rare_first])
-        self.slots[slot] = keys[rare_first]  # of those that collide, the most frequent stays
-        self.costs[slot] = self.top[rare_first]
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+        self.head = Costs(keys, c, np.log10((c - 0.5) / total[at]) if len(keys) else np.zeros(0))
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of each code's last symbol after those before it."""
-        slot = self._slot(codes)
-        out = self.costs[slot].astype(np.float64)
-        miss = np.flatnonzero(self.slots[slot] != codes)
-        i, ok = _find(self.levels[self.order][0], codes[miss])
-        out[miss[ok]] = self.top[i[ok]]
-        out[miss[~ok]] = self._escaped(codes[miss[~ok]])
+        out, rest = self.head.get(codes)
+        out[rest] = self.escaped(codes[rest])
         return out
 
-    def _escaped(self, codes: np.ndarray) -> np.ndarray:
+    def escaped(self, codes: np.ndarray, mass: np.ndarray | None = None, seen: np.ndarray | None = None) -> np.ndarray:
+        """The same, level by level; mass and seen are the count and the number of symbols that longer contexts exclude."""
         out, open_ = np.zeros(len(codes)), np.arange(len(codes))
-        mass, seen = np.zeros(len(codes)), np.zeros(len(codes), np.int64)  # of the excluded symbols
+        mass = np.zeros(len(codes)) if mass is None else mass.astype(np.float64)
+        seen = np.zeros(len(codes), np.int64) if seen is None else seen.copy()
         for k in range(self.order, -1, -1):
             keys, c, ctx, total, distinct, inner = self.levels[k]
-            code = codes[open_] & ((1 << BITS * (k + 1)) - 1)
+            code = codes[open_] & _mask(k)
             i, known = _find(ctx, code >> BITS)
             j, hit = _find(keys, code)
             if not len(keys):
@@ -161,7 +184,7 @@ def adaptive_score(text: bytes, trie: Trie | None = None, order: int = ORDER) ->
     for code in symbols([text], order)[0].tolist():
         symbol, excluded, done = code & ((1 << BITS) - 1), set(), False
         for k in range(order, -1, -1):
-            own = seen.setdefault((k, (code & ((1 << BITS * (k + 1)) - 1)) >> BITS), {})
+            own = seen.setdefault((k, (code & _mask(k)) >> BITS), {})
             left = {s: n for s, n in own.items() if s not in excluded}
             if left and not done:
                 done = symbol in left
@@ -173,46 +196,131 @@ def adaptive_score(text: bytes, trie: Trie | None = None, order: int = ORDER) ->
     return total
 
 
+def shortened(grams: DataFrame, k: int) -> DataFrame:
+    """key, n: grams of k + 1 symbols."""
+    return grams.groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(F.sum("n").alias("n"))
+
+
 def train_trie(grams: DataFrame, order: int, max_nodes: int) -> Trie:
+    """The trie of the longest contexts whose grams number at most max_nodes."""
     for k in range(order, 0, -1):
-        level = grams if k == order else grams.groupBy(F.col("key").bitwiseAND((1 << BITS * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
+        level = grams if k == order else shortened(grams, k)
         if k == 1 or level.count() <= max_nodes:
             rows = level.toArrow()
             return Trie(rows.column("key").to_numpy(), rows.column("n").to_numpy(), k)
     raise ValueError("order must be 1 or more")
 
 
-def score(docs: DataFrame, held_out: int = 1, folds: int = 5, order: int = ORDER, max_nodes: int = 1 << 22, head_words: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def levels(grams: DataFrame, low: int, order: int) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For contexts of low + 1 to order symbols: grams (key, n) and contexts (context, total, distinct, inner), stored. No key of these joins has over 257 rows."""
+    out, below = {}, shortened(grams, low)
+    for k in range(low + 1, order + 1):
+        level = grams if k == order else stored(shortened(grams, k), "ppm-level")
+        under = below.select(F.col("key").alias("under"), F.col("n").alias("m"))
+        both = level.join(under, F.col("key").bitwiseAND(F.lit(_mask(k - 1))) == F.col("under"))
+        contexts = both.groupBy(F.shiftright("key", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("m").alias("inner"))
+        out[k], below = (level, stored(contexts, "ppm-contexts")), level
+    return out
+
+
+def head_costs(grams: DataFrame, contexts: DataFrame, most: int) -> Costs:
+    """Of the top level, the bands of the most frequent grams that number at most `most` together."""
+    cut = _cut(grams, most)
+    cost = F.log10((F.col("n") - 0.5) / F.col("total"))
+    rows = grams.where(_band() >= cut).join(contexts, F.shiftright("key", BITS) == F.col("context")).select("key", "n", cost.alias("cost")).toArrow()
+    keys = rows.column("key").to_numpy()
+    sort = np.argsort(keys)
+    return Costs(keys[sort], rows.column("n").to_numpy()[sort], rows.column("cost").to_numpy()[sort])
+
+
+def prices(codes: DataFrame, above: dict[int, tuple[DataFrame, DataFrame]], model: Broadcast) -> DataFrame:
+    """code, cost: log10 probabilities of different codes, by joins with the levels above the broadcast trie and then by the trie."""
+    out = codes.select("code", F.lit(0.0).alias("cost"), F.lit(0).cast("bigint").alias("mass"), F.lit(0).cast("bigint").alias("seen"), F.lit(False).alias("done"))
+    for k in sorted(above, reverse=True):
+        level, contexts = above[k]
+        tail = F.col("code").bitwiseAND(F.lit(_mask(k)))
+        out = out.withColumn("tail", F.when(~F.col("done"), tail)).withColumn("before", F.shiftright("tail", BITS))
+        out = out.join(level, F.col("tail") == F.col("key"), "left").join(contexts, F.col("before") == F.col("context"), "left")
+        rest, open_ = F.col("total") - F.col("mass"), ~F.col("done")
+        p = F.when(F.col("n").isNotNull(), F.col("n") - 0.5).otherwise((F.col("distinct") - F.col("seen")) / 2) / rest
+        out = out.select(
+            "code",
+            (F.col("cost") + F.when(open_ & (rest > 0), F.log10(p)).otherwise(0.0)).alias("cost"),
+            F.when(open_, F.coalesce("inner", F.lit(0))).otherwise(0).cast("bigint").alias("mass"),
+            F.when(open_, F.coalesce("distinct", F.lit(0))).otherwise(0).cast("bigint").alias("seen"),
+            (F.col("done") | F.col("n").isNotNull()).alias("done"),
+        )
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = model.value[0]
+        for batch in batches:
+            code, cost, mass, seen = (batch.column(x).to_numpy() for x in ("code", "cost", "mass", "seen"))
+            left = np.flatnonzero(~batch.column("done").to_numpy(zero_copy_only=False))
+            cost = cost.copy()
+            cost[left] += trie.escaped(code[left] & _mask(trie.order), mass[left], seen[left])
+            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(cost)], names=["code", "cost"])
+
+    return out.mapInArrow(finish, "code bigint, cost double")
+
+
+def _band() -> Column:
+    return F.floor(F.log2("n") * 8)
+
+
+def _cut(rows: DataFrame, most: int) -> int:
+    """The least band of counts such that those from it on are at most so many rows."""
+    cut, taken = 1 << 20, 0
+    for r in sorted(rows.groupBy(_band().alias("band")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.band):
+        if taken + r.rows > most:
+            break
+        cut, taken = r.band, taken + r.rows
+    return cut
+
+
+def _by_text(keys: np.ndarray, place: np.ndarray, texts: int) -> list[pa.Array]:
+    """For each text, a list of its different keys and one of how often each comes."""
+    order = np.lexsort((keys, place))
+    keys, place = keys[order], place[order]
+    first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])][: len(keys)])
+    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(place[first], minlength=texts))], pa.int32())
+    times = np.diff(np.r_[first, len(keys)]).astype(np.int32)
+    return [pa.ListArray.from_arrays(offsets, pa.array(keys[first])), pa.ListArray.from_arrays(offsets, pa.array(times))]
+
+
+def _exploded(rows: DataFrame, keys: str, times: str, key: str) -> DataFrame:
+    return rows.select("row", F.explode(F.arrays_zip(keys, times)).alias("x")).select("row", F.col(f"x.{keys}").alias(key), F.col(f"x.{times}").alias("times"))
+
+
+def score(docs: DataFrame, held_out: int = 1, folds: int = 5, order: int = ORDER, max_nodes: int = 1 << 21, head_grams: int = 1 << 21, head_words: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all texts; texts whose crc32(id) mod folds is held_out are not learned from."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     train = docs.where(fold != held_out)
     table_ = stored(counts(train, order), "ppm-counts")
-    words = table_.where(F.col("kind") == WORD)
-    band = F.floor(F.log2("n") * 8)
+    words, grams = (table_.where(F.col("kind") == kind).select("key", "n") for kind in (WORD, GRAM))
     ends = train.count()
-    by_band = words.groupBy(band.alias("band")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
-    n_all, n_distinct = sum(r.n for r in by_band) + ends, sum(r.words for r in by_band) + (ends > 0)
-    cut, taken = 1 << 20, 0
-    for r in sorted(by_band, key=lambda r: -r.band):
-        if taken + r.words > head_words:
-            break
-        cut, taken = r.band, taken + r.words
-    head = words.where(band >= cut).select("key", "n").toArrow()
+    all_words = words.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    n_all, n_distinct = all_words.n + ends, all_words.words + (ends > 0)
+    cut = _cut(words, head_words)
+    head = words.where(_band() >= cut).toArrow()
     sort = np.argsort(keys := head.column("key").to_numpy())
-    trie = train_trie(table_.where(F.col("kind") == GRAM).select("key", "n"), order, max_nodes)
-    shared = spark.sparkContext.broadcast((trie, keys[sort], head.column("n").to_numpy()[sort]))
+    trie = train_trie(grams, order, max_nodes)
+    above = levels(grams, trie.order, order)
+    top = head_costs(grams, above[order][1], head_grams) if above else None
+    shared = spark.sparkContext.broadcast((trie, top, keys[sort], head.column("n").to_numpy()[sort]))
     least = n_all + 0.5 * (n_distinct + 1)
     end_score = math.log10((ends + 0.5) / least)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, keys, n = shared.value
+        model, top, keys, n = shared.value
         costs, row = np.log10((n + 0.5) / least), TaskContext.get().partitionId() << 33
         for chunk in text_chunks(batches, limit=1 << 20):
             ids, texts = chunk.column("doc_id").to_pylist(), utf8(chunk.column("text"))
-            codes, sizes = symbols(texts, model.order)
-            score = np.add.reduceat(model.score(codes), np.cumsum(sizes) - sizes)
+            codes, sizes = symbols(texts, order)
+            cost, rest = (model.score(codes), np.zeros(0, np.int64)) if top is None else top.get(codes)
+            score = np.add.reduceat(cost, np.cumsum(sizes) - sizes)
+            grams = _by_text(codes[rest], np.repeat(np.arange(len(texts)), sizes)[rest], len(texts))
             split = [t.translate(LOWER).split() for t in texts]
             lengths = np.array([len(w) for w in split], np.int64)
             own = hash_words([w for words in split for w in words]).view(np.int64)
@@ -220,22 +328,25 @@ def score(docs: DataFrame, held_out: int = 1, folds: int = 5, order: int = ORDER
             i, ok = _find(keys, own)
             base = np.bincount(doc[ok], costs[i[ok]], len(texts)) + end_score
             known = np.bincount(doc[ok], minlength=len(texts)) + (ends > 0)
-            far, place = own[~ok], doc[~ok]
-            order_ = np.lexsort((far, place))
-            far, place = far[order_], place[order_]
-            first = np.flatnonzero(np.r_[True, (far[1:] != far[:-1]) | (place[1:] != place[:-1])][: len(far)])
-            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(place[first], minlength=len(texts)))], pa.int32())
-            times = np.diff(np.r_[first, len(far)])
             out = [zlib.crc32(("" if d is None else str(d)).encode()) % folds == held_out for d in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(texts))), chunk.column("doc_id"), pa.array(out), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(offsets, pa.array(far[first])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far", "times"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row + np.arange(len(texts))), chunk.column("doc_id"), pa.array(out), pa.array(lengths + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), *_by_text(own[~ok], doc[~ok], len(texts)), *grams],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far", "times", "grams", "gram_times"],
+            )
             row += len(texts)
 
-    rows = stored(docs.mapInArrow(read, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, far array<bigint>, times array<int>"), "ppm-scored")
-    far = rows.select("row", F.explode(F.arrays_zip("far", "times")).alias("x")).select("row", F.col("x.far").alias("key"), F.col("x.times").alias("times"))
-    far = far.join(words.where(band < cut).select("key", "n"), "key", "left")
+    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, far array<bigint>, times array<int>, grams array<bigint>, gram_times array<int>"
+    rows = stored(docs.mapInArrow(read, schema), "ppm-scored")
+    far = _exploded(rows, "far", "times", "key").join(words.where(_band() < cut), "key", "left")
     far = far.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("more"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / least)).alias("base"))
-    whole = rows.drop("far", "times").join(far, "row", "left")
-    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("bigint").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score")
+    whole = rows.drop("far", "times", "grams", "gram_times").join(far, "row", "left")
+    total = F.col("score")
+    if above:
+        far = _exploded(rows, "grams", "gram_times", "code")
+        priced = far.join(prices(far.select("code").distinct(), above, shared), "code")
+        whole = whole.join(priced.groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("rest")), "row", "left")
+        total += F.coalesce("rest", F.lit(0.0))
+    return whole.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("bigint").alias("train_tokens"), (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), total.alias("score"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

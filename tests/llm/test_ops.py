@@ -198,7 +198,17 @@ def test_trie_is_exact_and_sums_to_one():
 
 def test_ppm_empty_and_small_trie(none, docs):
     assert ppm.score(none).count() == 0
-    assert ppm.score(docs, max_nodes=100).where("isnan(score) or score > 0").count() == 0
+    assert ppm.score(none, max_nodes=0).count() == 0
+
+
+@pytest.mark.parametrize("max_nodes,head_grams,low", [(100, 50, 1), (100, 0, 1), (1500, 300, 2)])
+def test_ppm_joined_grams_score_alike(docs, max_nodes, head_grams, low):
+    train = ppm.counts(docs.where("doc_id is not null")).where(f"kind = {ppm.GRAM}").select("key", "n")
+    assert ppm.train_trie(train, ppm.ORDER, max_nodes).order in (low, low + 1)
+    by_row = lambda df: sorted(((r.doc_id is None, r.doc_id, r.n_tokens, r.score) for r in df.collect()), key=str)
+    whole, joined = by_row(ppm.score(docs)), by_row(ppm.score(docs, max_nodes=max_nodes, head_grams=head_grams))
+    assert [r[:3] for r in whole] == [r[:3] for r in joined]
+    assert np.allclose([r[3] for r in whole], [r[3] for r in joined], rtol=1e-5)
 
 
 # ---- decontamination
