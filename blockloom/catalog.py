@@ -154,6 +154,48 @@ for _space in T.SPACES:
     )
 
 
+def _f(v: float) -> str:
+    return f"CAST({v} AS FLOAT)"
+
+
+def _dot_sql(row: list[float], parts: list[str]) -> str:
+    return "(" + " + ".join(f"{_f(m)} * {p}" for m, p in zip(row, parts)) + ")"
+
+
+def _round_sql(e: str) -> str:
+    return f"CAST(trunc(CASE WHEN {e} < 0 THEN {e} - {_f(0.5)} ELSE {e} + {_f(0.5)} END) AS INTEGER)"
+
+
+def _float_ycc_sql(limited: bool) -> str:
+    """8 bits, BT.601; limited: YCbCr in its span, RGB in all values."""
+    parts = [f"CAST({c} AS FLOAT)" + (f" * CAST({_f(255)} / {_f(256)} AS FLOAT)" if limited else "") for c in "rgb"]
+    out = []
+    for i, (m, n) in enumerate(zip(T.matrices("BT601", 4)[0], ("yy", "cb", "cr"))):
+        e = _dot_sql(m, parts) + (f" * CAST({_f(225 if i else 220)} / {_f(255)} AS FLOAT)" if limited else "")
+        out.append(f"least(greatest({_round_sql(e)} + {(16 if limited else 0) + (128 if i else 0)}, {int(limited)}), {255 - int(limited)}) AS {n}")
+    return "SELECT y, x, " + ", ".join(out) + " FROM rgb"
+
+
+def _float_rgb_sql(limited: bool) -> str:
+    parts = [f"CAST({c} - {(16 if limited else 0) + (128 if i else 0)} AS FLOAT)" + (f" * CAST({_f(255)} / {_f(225 if i else 220)} AS FLOAT)" if limited else "") for i, c in enumerate(("yy", "cb", "cr"))]
+    out = []
+    for m, n in zip(T.matrices("BT601", 4)[1], "rgb"):
+        e = _dot_sql(m, parts) + (f" * CAST({_f(256)} / {_f(255)} AS FLOAT)" if limited else "")
+        out.append(f"least(greatest({_round_sql(e)}, 0), 255) AS {n}")
+    return "SELECT y, x, " + ", ".join(out) + f" FROM ({_float_ycc_sql(limited)})"
+
+
+def float_ycc(spark, sf, limited):
+    return views.rgb(spark, sf).select("y", "x", *[c.alias(n) for c, n in zip(P.rgb_to_ycc_float(F.col("r"), F.col("g"), F.col("b"), limited=limited), ("yy", "cb", "cr"))])
+
+
+for _name, _limited in (("o16_{}_float", None), ("o17_{}_limited", (True, False))):
+    query(_name.format("rgb2ycbcr"), _with(V["rgb"]) + _float_ycc_sql(bool(_limited)))(lambda spark, sf, s=_limited: float_ycc(spark, sf, s))
+    query(_name.format("ycbcr2rgb"), _with(V["rgb"]) + _float_rgb_sql(bool(_limited)))(
+        lambda spark, sf, s=_limited: float_ycc(spark, sf, s).select("y", "x", *[c.alias(n) for c, n in zip(P.ycc_to_rgb_float(F.col("yy"), F.col("cb"), F.col("cr"), limited=s), "rgb")])
+    )
+
+
 @query("o19_reorder", _with(V["rgb"]) + "SELECT y, x, b AS r, g, r AS b FROM rgb")
 def o19(spark, sf):
     return views.rgb(spark, sf).select("y", "x", F.col("b").alias("r"), "g", F.col("r").alias("b"))
@@ -235,6 +277,19 @@ def o29(spark, sf):
     return flat(coded(spark, sf), "coeff")
 
 
+BASIS13 = _values("basis13", "u, x, m", [(u, x, int(T.BASIS13[u, x])) for u in range(8) for x in range(8)])
+BASISF = _values("basisf", "u, x, m", [(u, x, float(T.EXACT_BASIS[u, x])) for u in range(8) for x in range(8)])
+_FORMS = {
+    "float": _with(V["blk"], PX, BASISF, "t1 AS (SELECT block_id, frame, i // 8 AS y, u, sum(v * CAST(m AS DOUBLE)) AS t FROM px JOIN basisf ON x = i % 8 GROUP BY ALL)", "c AS (SELECT block_id, frame, basisf.u * 8 + t1.u AS i, 2 * sum(t * CAST(m AS DOUBLE)) AS v FROM t1 JOIN basisf ON x = y GROUP BY block_id, frame, basisf.u, t1.u)")
+    + "SELECT block_id, frame, CAST(i AS INTEGER) AS i, CAST(round(v) AS INTEGER) - CASE WHEN i = 0 THEN 16384 ELSE 0 END AS v FROM c",
+    "int13_folded": _with(V["blk"], PX, BASIS13, "t1 AS (SELECT block_id, frame, i // 8 AS y, u, (CAST(sum(v * m) AS BIGINT) + 1024) >> 11 AS t FROM px JOIN basis13 ON x = i % 8 GROUP BY ALL)", "c AS (SELECT block_id, frame, basis13.u * 8 + t1.u AS i, (CAST(sum(t * m) AS BIGINT) + 8192) >> 14 AS v FROM t1 JOIN basis13 ON x = y GROUP BY block_id, frame, basis13.u, t1.u)")
+    + "SELECT block_id, frame, CAST(i AS INTEGER) AS i, CAST(v AS INTEGER) - CASE WHEN i = 0 THEN 16384 ELSE 0 END AS v FROM c",
+}
+_FORMS["float_folded"] = _FORMS["float"]
+for _form in K.FORMS:
+    query(f"o31_fdct_{_form}", _FORMS[_form])(lambda spark, sf, f=_form: flat(views.blk(spark, sf).withColumn("coeff", K.dct_as(f, "px")), "coeff"))
+
+
 @query("o30_idct", _with(*CODED, REC) + "SELECT block_id, frame, CAST(i AS INTEGER) AS i, CAST(v AS INTEGER) AS v FROM rec")
 def o30(spark, sf):
     return flat(reconstructed(spark, sf), "rec")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tables import BASIS, ZIGZAG
+from .tables import BASIS, BASIS13, EXACT_BASIS, ZIGZAG
 
 SCAN = np.array(ZIGZAG)
 UNSCAN = np.argsort(SCAN)
@@ -30,6 +30,65 @@ def inverse_dct(coeff: np.ndarray, most: int = 65535) -> np.ndarray:
     return np.clip((t @ BASIS + (1 << 17)) >> 18, 0, most).reshape(-1, 64)
 
 
+def _halves(basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The left halves of the even and of the odd frequencies; the right halves mirror them, the odd ones negated."""
+    return basis[::2, :4], basis[1::2, :4]
+
+
+def _folded(s: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Transforms the last axis with half of the products: sums of mirrored samples give even frequencies, differences odd ones."""
+    even, odd = _halves(basis)
+    a, b = s[..., :4], s[..., :3:-1]
+    out = np.empty(s.shape, np.result_type(s, basis))
+    out[..., ::2], out[..., 1::2] = (a + b) @ even.T, (a - b) @ odd.T
+    return out
+
+
+def _unfolded(c: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The inverse along the last axis."""
+    even, odd = _halves(basis)
+    e, o = c[..., ::2] @ even, c[..., 1::2] @ odd
+    return np.concatenate([e + o, (e - o)[..., ::-1]], axis=-1)
+
+
+def _round(v: np.ndarray) -> np.ndarray:
+    """Half away from zero."""
+    return np.trunc(v + np.copysign(0.5, v)).astype(np.int64)
+
+
+#: Forms of the transform besides the 14-bit matrix: they differ from it by 2 at most, backward by 1.
+FORMS = ("float", "float_folded", "int13_folded")
+
+
+def forward_dct_as(form: str, px: np.ndarray) -> np.ndarray:
+    s = px.reshape(-1, 8, 8).astype(np.int64)
+    turn = lambda v: v.transpose(0, 2, 1)
+    if form == "int13_folded":
+        t = (_folded(s, BASIS13) + (1 << 10)) >> 11
+        out = turn((_folded(turn(t), BASIS13) + (1 << 13)) >> 14)
+    elif form == "float_folded":
+        out = _round(turn(_folded(turn(_folded(s.astype(np.float64), EXACT_BASIS)), EXACT_BASIS)) * 2)
+    else:
+        out = _round(EXACT_BASIS @ (s @ EXACT_BASIS.T) * 2)
+    out = out.reshape(-1, 64).copy()
+    out[:, 0] -= 16384  # level shift
+    return out
+
+
+def inverse_dct_as(form: str, coeff: np.ndarray, most: int = 65535) -> np.ndarray:
+    c = coeff.reshape(-1, 64).astype(np.int64).copy()
+    c[:, 0] += 1024
+    c, turn = c.reshape(-1, 8, 8), lambda v: v.transpose(0, 2, 1)
+    if form == "int13_folded":
+        t = (turn(_unfolded(turn(c), BASIS13)) + (1 << 10)) >> 11
+        out = (_unfolded(t, BASIS13) + (1 << 17)) >> 18
+    elif form == "float_folded":
+        out = _round(_unfolded(turn(_unfolded(turn(c).astype(np.float64), EXACT_BASIS)), EXACT_BASIS) / 8)
+    else:
+        out = _round(EXACT_BASIS.T @ c @ EXACT_BASIS / 8)
+    return np.clip(out, 0, most).reshape(-1, 64)
+
+
 def quantise(coeff: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Raster coefficients to scan order, divided by 16 q and rounded half away from zero."""
     c, d = coeff[:, SCAN], 16 * np.asarray(q, np.int64)
@@ -216,6 +275,14 @@ def idct(coeff: Column | str, most: int = 65535) -> Column:
     return _column(lambda c: inverse_dct(c, most), coeff)
 
 
+def dct_as(form: str, px: Column | str) -> Column:
+    return _column(lambda p: forward_dct_as(form, p), px)
+
+
+def idct_as(form: str, coeff: Column | str, most: int = 65535) -> Column:
+    return _column(lambda c: inverse_dct_as(form, c, most), coeff)
+
+
 def quant_scan(coeff: Column | str, q: list[int]) -> Column:
     return _column(lambda c: quantise(c.astype(np.int64), np.array(q)), coeff)
 

@@ -40,7 +40,10 @@ def zigzag() -> list[int]:
 
 ZIGZAG = zigzag()
 #: Cosine basis in 14 bits: rows are frequencies.
-BASIS = np.array([[16384 if u == 0 else round(16384 * math.sqrt(2) * math.cos((2 * x + 1) * u * math.pi / 16)) for x in range(8)] for u in range(8)], np.int64)
+EXACT_BASIS = np.array([[1.0 if u == 0 else math.sqrt(2) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
+BASIS = np.round(EXACT_BASIS * 16384).astype(np.int64)
+#: The same in 13 bits.
+BASIS13 = np.round(EXACT_BASIS * 8192).astype(np.int64)
 
 
 def quant_table(quality: int, cmp: int = 0, layout: str = "Default") -> list[int]:
@@ -73,11 +76,11 @@ def standard(kind: str, table: int) -> tuple[list[int], list[int]]:
     return BITS[kind, table], [*short, *sorted(set(every) - set(short))]
 
 
-def matrices(space: str) -> tuple[list[list[int]], list[list[int]]]:
-    """Forward and backward colour matrices in 16 bits, from the standards' luma shares."""
+def matrices(space: str, decimals: int | None = None) -> tuple[list[list], list[list]]:
+    """Forward and backward colour matrices from the standards' luma shares: integers of 16 bits, or with decimals fractions rounded to them."""
     kr, kb = SPACES[space]
     kg = 1 - kr - kb
-    fix = lambda v: round(v * 65536)
+    fix = lambda v: round(v * 65536) if decimals is None else round(v, decimals)
     forward = [[kr, kg, kb], [-kr / (2 * (1 - kb)), -kg / (2 * (1 - kb)), 0.5], [0.5, -kg / (2 * (1 - kr)), -kb / (2 * (1 - kr))]]
     backward = [[1, 0, 2 * (1 - kr)], [1, -2 * kb * (1 - kb) / kg, -2 * kr * (1 - kr) / kg], [1, 2 * (1 - kb), 0]]
     return [[fix(v) for v in row] for row in forward], [[fix(v) for v in row] for row in backward]

@@ -37,6 +37,61 @@ def ycc_to_rgb(y: Column, u: Column, v: Column, space: str = "BT601", depth: int
     return [_clip(F.shiftright(y * 65536 + (1 << 15) + m[1] * u + m[2] * v, 16), most) for m in rows]
 
 
+def _span(depth: int, limited: bool, chroma: bool = False) -> tuple[int, int]:
+    """Least value of a signal and how many values it has: all, or 16 to 235 (chroma 240) at 8 bits."""
+    step = 1 << (depth - 8)
+    low, high = (16 * step, (240 if chroma else 235) * step) if limited else (0, (1 << depth) - 1)
+    return low, high - low + 1
+
+
+def _float(v: float) -> Column:
+    return F.lit(v).cast("float")
+
+
+def _rounded(v: Column) -> Column:
+    """Half away from zero, to an integer."""
+    return F.when(v < 0, v - _float(0.5)).otherwise(v + _float(0.5)).cast("int")
+
+
+def _within(v: Column, depth: int, limited: bool) -> Column:
+    """Clips to all values; a limited signal leaves the first and the last step free."""
+    step, most = 1 << (depth - 8), (1 << depth) - 1
+    return F.least(F.greatest(v, F.lit(step if limited else 0)), F.lit(most - step if limited else most))
+
+
+def _dot(row: list[float], parts: list[Column]) -> Column:
+    return _float(row[0]) * parts[0] + _float(row[1]) * parts[1] + _float(row[2]) * parts[2]
+
+
+def rgb_to_ycc_float(r: Column, g: Column, b: Column, space: str = "BT601", depth: int = 8, limited: tuple[bool, bool] | None = None) -> list[Column]:
+    """In 32-bit floats. limited: of (YCbCr, RGB), which are of limited range; signals are then scaled between their spans. None: no scaling."""
+    most, mid = (1 << depth) - 1, 1 << (depth - 1)
+    rows, parts = matrices(space, 4)[0], [r, g, b]
+    if limited is None:
+        sums = [_rounded(_dot(m, [c.cast("float") for c in parts])) for m in rows]
+        return [_within(s + (mid if i else 0), depth, False) for i, s in enumerate(sums)]
+    low, n = _span(depth, limited[1])
+    parts = [(c.cast("int") - low).cast("float") * (_float(most) / _float(n)).cast("float") for c in parts]
+    out = []
+    for i, m in enumerate(rows):
+        low, n = _span(depth, limited[0], i > 0)
+        scaled = _rounded(_dot(m, parts) * (_float(n) / _float(most)).cast("float"))
+        out.append(_within(scaled + (low + (mid if i else 0)), depth, limited[0]))
+    return out
+
+
+def ycc_to_rgb_float(y: Column, u: Column, v: Column, space: str = "BT601", depth: int = 8, limited: tuple[bool, bool] | None = None) -> list[Column]:
+    """The inverse of rgb_to_ycc_float."""
+    most, mid = (1 << depth) - 1, 1 << (depth - 1)
+    rows, parts = matrices(space, 4)[1], [y.cast("int"), u.cast("int") - mid, v.cast("int") - mid]
+    if limited is None:
+        return [_within(_rounded(_dot(m, [c.cast("float") for c in parts])), depth, False) for m in rows]
+    spans = [_span(depth, limited[0], i > 0) for i in range(3)]
+    parts = [(c - low).cast("float") * (_float(most) / _float(n)).cast("float") for c, (low, n) in zip(parts, spans)]
+    low, n = _span(depth, limited[1])
+    return [_within(_rounded(_dot(m, parts) * (_float(n) / _float(most)).cast("float")) + low, depth, limited[1]) for m in rows]
+
+
 def margin_index(i: Column, size: int, mode: str) -> Column:
     """The sample that a position outside takes: Nearest, Reflect (edge twice) or Mirror (edge once)."""
     if mode == "Nearest":

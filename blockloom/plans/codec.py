@@ -37,7 +37,7 @@ class Config:
     lambda_mode: str = "ApproxExact"
 
     def __post_init__(self):
-        if self.chroma not in jfif.SAMPLING or not 0 <= self.quality <= 100 or self.layout not in T.FAST or min(self.width, self.height) < 1:
+        if self.lambda_mode not in ("ApproxExact", "ApproxFast", "Exhaustive") or self.chroma not in jfif.SAMPLING or not 0 <= self.quality <= 100 or self.layout not in T.FAST or min(self.width, self.height) < 1:
             raise ValueError("not a valid configuration")
 
     @classmethod
@@ -175,6 +175,34 @@ def _symbol_counts(zz: np.ndarray, slice_of: np.ndarray) -> tuple[dict, dict]:
     return {s: int(n) for s, n in enumerate(dc) if n}, {s: int(n) for s, n in enumerate(ac) if n}
 
 
+def _rates(zz: list[np.ndarray], coeff: list[np.ndarray], quality: int, cfg: Config, table: list[int], slice_of: list[np.ndarray], made: dict) -> list[tuple[int, int]]:
+    """Estimated bits and squared error of coefficients, by component."""
+    out = []
+    for z, c, t, s in zip(zz, coeff, table, slice_of):
+        dc, ac = _symbol_counts(z, s)
+        bits = sum(n * (made["DC", t].get(x, (16,))[0] + x) for x, n in dc.items()) + sum(n * (made["AC", t].get(x, (16,))[0] + (x & 15)) for x, n in ac.items())
+        out.append((bits, int(K.coefficient_ssd(z, c, np.array(T.quant_table(quality, t, cfg.layout))).sum())))
+    return out
+
+
+def _lambdas(zz: list[np.ndarray], coeff: list[np.ndarray], cfg: Config, table: list[int], slice_of: list[np.ndarray], made: dict) -> list[float]:
+    """What a bit is worth in squared error, by component."""
+    rates = _rates(zz, coeff, cfg.quality, cfg, table, slice_of, made)
+    if cfg.lambda_mode == "Exhaustive":
+        slopes = []
+        for other in ([cfg.quality - 2] if cfg.quality > 1 else []) + ([cfg.quality + 2] if cfg.quality < 100 else []):
+            aside = [K.quantise(c, np.array(T.quant_table(other, t, cfg.layout))) for c, t in zip(coeff, table)]
+            there = _rates(aside, coeff, other, cfg, table, slice_of, made)
+            slopes.append([(s2 - s) / (b - b2) if b != b2 else 0.0 for (b, s), (b2, s2) in zip(rates, there)])
+        return [sum(v) / len(v) for v in zip(*slopes)]
+    q = math.log(min(max(cfg.quality, 1), 100))
+    if cfg.lambda_mode == "ApproxFast":
+        return [math.exp(sum(a * q**p for a, p in zip(T.FAST[cfg.layout][t], (3, 2, 1, 0)))) for t in table]
+    area = cfg.width * cfg.height
+    lb, lm = math.log(sum(b for b, _ in rates) / area), math.log(max(sum(s for _, s in rates) / area, 0.001))
+    return [math.exp(a + b * q + c * lb + d * lm + e * q * lb + f * q * q) / (1 + t) for t in table for a, b, c, d, e, f in [T.EXACT[cfg.layout][t]]]
+
+
 def encode_frame(planes: list[np.ndarray], cfg: Config) -> bytes:
     h, v = cfg.sampling
     cols, rows = -(-cfg.width // (8 * h)), -(-cfg.height // (8 * v))
@@ -191,17 +219,7 @@ def encode_frame(planes: list[np.ndarray], cfg: Config) -> bytes:
     for _ in range(cfg.picture_passes):
         made = {k: T.canonical(*c) for k, c in codes.items()}
         if cfg.optimise_coefficients:
-            bits, ssd = 0, 0
-            for z, c, t, s in zip(zz, coeff, table, slice_of):
-                dc, ac = _symbol_counts(z, s)
-                bits += sum(n * (made["DC", t].get(x, (16,))[0] + x) for x, n in dc.items()) + sum(n * (made["AC", t].get(x, (16,))[0] + (x & 15)) for x, n in ac.items())
-                ssd += int(K.coefficient_ssd(z, c, np.array(quant[t])).sum())
-            area, q = cfg.width * cfg.height, math.log(min(max(cfg.quality, 1), 100))
-            lb, lm = math.log(bits / area), math.log(max(ssd / area, 0.001))
-            if cfg.lambda_mode == "ApproxFast":
-                lam = [math.exp(sum(a * q**p for a, p in zip(T.FAST[cfg.layout][t], (3, 2, 1, 0)))) for t in table]
-            else:
-                lam = [math.exp(a + b * q + c * lb + d * lm + e * q * lb + f * q * q) / (1 + t) for t in table for a, b, c, d, e, f in [T.EXACT[cfg.layout][t]]]
+            lam = _lambdas(zz, coeff, cfg, table, slice_of, made)
             zz = [K.rdoq(z, c, p if cfg.exact_distortion else None, np.array(quant[t]), np.full(len(z), lm_), code_lengths(made["AC", t]), cfg.process_zeros, cfg.block_passes) for z, c, p, t, lm_ in zip(zz, coeff, px, table, lam)]
         if cfg.optimise_tables:
             for t in set(table):

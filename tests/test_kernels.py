@@ -106,3 +106,24 @@ def test_config():
     assert (cfg.width, cfg.height, cfg.quality, cfg.optimise_tables) == (16, 8, 80, True)
     with pytest.raises(ValueError):
         codec.Config(8, 8, quality=101)
+
+
+@pytest.mark.parametrize("form", K.FORMS)
+def test_forms_of_the_transform_agree(form):
+    rng = np.random.default_rng(3)
+    px = np.concatenate([rng.integers(0, 256, (500, 64)), np.zeros((1, 64), int), np.full((1, 64), 255)])
+    assert np.abs(K.forward_dct_as(form, px) - K.forward_dct(px)).max() <= 2
+    c = K.dequantise(K.quantise(K.forward_dct(px), np.full(64, 5)), np.full(64, 5))
+    assert np.abs(K.inverse_dct_as(form, c) - K.inverse_dct(c)).max() <= 1
+
+
+def test_exhaustive_lambda_saves_bits():
+    rng = np.random.default_rng(4)
+    plane = np.clip(np.add.outer(np.arange(64), 2 * np.arange(64)) + rng.integers(-20, 20, (64, 64)), 0, 255)
+    for quality in (1, 60, 100):
+        plain = codec.encode_frame([plane], codec.Config(64, 64, quality=quality))
+        less = codec.encode_frame([plane], codec.Config(64, 64, quality=quality, optimise_coefficients=True, lambda_mode="Exhaustive"))
+        assert len(less) <= len(plain)
+        assert codec.decode_frame(less)[2][0].shape == plane.shape
+    with pytest.raises(ValueError):
+        codec.Config(8, 8, lambda_mode="none")
