@@ -1,11 +1,12 @@
 """Exact Jaccard join of word-shingle sets by PartEnum signatures, and the components of its links.
 
-1. A text gives its set of distinct 3-word shingles (64-bit hashes). Equal sets are one representative from here on.
+1. A text gives its set of distinct word shingles (64-bit hashes; 3 words unless told otherwise). Equal sets are one representative from here on.
 2. Sizes fall into bands. A link needs a symmetric difference of at most k elements, k by band. The hash domain is cut into n1
    parts and each into n2 subparts, with n1 * (k2 + 1) > k: some part has at most k2 differences, so some choice of n2 - k2 of its
-   subparts has none. Each choice's content is a signature, so linked sets share one.
+      subparts has none. Each choice's content is a signature, so linked sets share one. With spare parts, linked sets share a signature in
+   more parts than there are spare ones; a set in which no more than these have an empty choice leaves its empty signatures out.
 3. Sets that share signatures form candidate groups, as stars and not as pairs. A group's sets are compared exactly: in one
-   task if small, else in blocks, all pairs of blocks, each task holding two. A task returns a spanning forest of its links.
+   task if small, else among neighbouring size classes in blocks, all pairs of blocks, each task holding two. A task returns a spanning forest of its links.
 4. Components of the forests give the result. Nothing is capped, and no pairs are emitted.
 
 Cases: null and empty texts, or those without words, have an empty set and link with nothing. Fewer than 3 words are one shingle.
@@ -14,6 +15,7 @@ Repeated rows give a row each. Null ids are skipped when a component's id is cho
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -54,9 +56,14 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
 
 
-def signatures(features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of all sets and the number of each set's. Sets that link only with equal ones (k = 0) get none."""
-    last, reach, k, n1 = bands(int(sizes.max(initial=1)) + 1)
+def signatures(features: np.ndarray, sizes: np.ndarray, num: int = NUM, den: int = DEN, spare: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of all sets and the number of each set's. Sets that link only with equal ones (k = 0) get none. spare: further parts, as a share of those needed less one.
+
+    Linked sets agree in at least one part more than the spare ones. If one of the two has empty choices in no more than the spare parts, they
+    agree in a part without any, and both emit it; if both have them in more, both emit all their signatures."""
+    last, reach, k, n1 = bands(int(sizes.max(initial=1)) + 1, num, den)
+    more = np.ceil((n1 - 1) * spare).astype(np.int64)
+    n1 = n1 + more
     own = np.searchsorted(last, sizes)
     below = np.maximum(own - 1, 0)
     sets = np.r_[np.flatnonzero((k[own] > 0) & (sizes > 0)), np.flatnonzero((own > 0) & (sizes <= reach[below]) & (k[below] > 0))]
@@ -76,16 +83,22 @@ def signatures(features: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.
     content = content.reshape(-1, N2)
     name = mix(np.repeat(band, parts).astype(np.uint64) << np.uint64(40) | (np.arange(len(content)) - np.repeat(first, parts)).astype(np.uint64), 13)
     out = np.stack([mix(content[:, list(s)].sum(axis=1, dtype=np.uint64) + mix(name, 20 + i), 14) for i, s in enumerate(SUBSETS)], axis=1)
-    return out.reshape(-1), np.bincount(sets, parts * len(SUBSETS), len(sizes)).astype(np.int64)
+    if not spare:
+        return out.reshape(-1), np.bincount(sets, parts * len(SUBSETS), len(sizes)).astype(np.int64)
+    held = np.bincount(slot, minlength=len(content) * N2).reshape(-1, N2) > 0
+    full = np.stack([held[:, list(s)].any(axis=1) for s in SUBSETS], axis=1)
+    owner = np.repeat(np.arange(len(sets)), parts)
+    full |= (np.bincount(owner, ~full.all(axis=1), len(sets)) > more[band])[owner, None]
+    return out[full], np.bincount(sets[owner], full.sum(axis=1), len(sizes)).astype(np.int64)
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = 0.0) -> DataFrame:
     """Per document: doc_id, t (hash of its text), n (set size), rep (hash of the set, null if empty), sigs (for the first of equal sets in a task)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for chunk in text_chunks(batches):
-            features, sizes = shingle_sets(utf8(chunk.column("text")))
+            features, sizes = shingle_sets(utf8(chunk.column("text")), width)
             ends = np.r_[0, np.cumsum(sizes)]
             sums = np.r_[np.uint64(0), np.cumsum(mix(features, 15), dtype=np.uint64)]
             rep = mix(sums[ends[1:]] - sums[ends[:-1]] + sizes.astype(np.uint64), 16).view(np.int64)
@@ -94,7 +107,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 if sizes[i] and r not in seen:
                     seen.add(r)
                     new[i] = True
-            sigs, n = signatures(features[np.repeat(new, sizes)], sizes[new])
+            sigs, n = signatures(features[np.repeat(new, sizes)], sizes[new], num, den, spare)
             counts = np.zeros(len(sizes), np.int64)
             counts[new] = n
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(sigs.view(np.int64)))
@@ -154,13 +167,13 @@ def forest(reps: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int =
     return edges
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (c, i, j): a group's exact links."""
     key, reps, sets = None, [], []
 
     def done() -> Iterator[pa.RecordBatch]:
         at = {r: s for r, s in zip(reps, sets)}
-        if edges := forest(np.array([*at], np.int64), [np.frombuffer(s, np.uint64) for s in at.values()]):
+        if edges := forest(np.array([*at], np.int64), [np.frombuffer(s, np.uint64) for s in at.values()], num, den):
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
@@ -173,42 +186,47 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for chunk in text_chunks(batches):
-        features, sizes = shingle_sets(utf8(chunk.column("text")))
+        features, sizes = shingle_sets(utf8(chunk.column("text")), width)
         ends = np.cumsum(sizes)
         own = [features[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-        yield pa.RecordBatch.from_arrays([chunk.column("rep"), chunk.column("c"), chunk.column("nb"), pa.array(own, pa.binary())], names=["rep", "c", "nb", "features"])
+        yield pa.RecordBatch.from_arrays([chunk.column("rep"), chunk.column("ws"), pa.array(own, pa.binary())], names=["rep", "ws", "features"])
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, sigs_per_task: int = 1 << 20) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class_id (the set's hash, null without words)."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, sigs_per_task: int = 1 << 20, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = 0.0) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, class_id (the set's hash, null without words). Sets of shingles of `width` words link from a likeness of num / den."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(signed(docs), "signed")
+    rows = stored(signed(docs, width, num, den, spare), "signed")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.size("sigs"))).first()[0] or 0) // sigs_per_task))
     shared = rows.select("rep", F.explode("sigs").alias("sig")).repartition(tasks, "sig").sortWithinPartitions("sig", "rep").mapInArrow(_stars, "a bigint, b bigint")
     roots = components(shared)
     member = stored(roots.select(F.col("u").alias("rep"), F.col("root").alias("c")).union(roots.select(F.col("root").alias("rep"), F.col("root").alias("c")).distinct()), "candidates")
     one = rows.where("rep is not null").join(member, "rep").groupBy("rep", "c").agg(F.min(F.struct("t", "doc_id")).alias("d"), F.first("n").alias("n"))
     one = stored(one, "chosen")
-    blocks = one.groupBy("c").agg(F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count("*") / block_sets)).cast("int").alias("nb"))
-    wanted = one.join(blocks, "c").select("rep", "c", "nb", F.col("d.t").alias("t"), F.col("d.doc_id").alias("chosen"))
-    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted.hint("merge"), "t").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("rep", "c", "nb", "text")
-    sets = texts.mapInArrow(_sets, "rep bigint, c bigint, nb int, features binary")
+    count = F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count("*") / block_sets)).cast("int")
+    blocks = one.groupBy("c").agg(count.alias("nb"))
+    # Linked sets are in one size class or in neighbouring ones; a window is a class and the next one. Small groups are one window.
+    size_class = F.floor(F.log("n") / math.log(1.001 * den / num))
+    windows = F.when(F.col("nb") == 1, F.array(F.lit(-2).cast("bigint"))).otherwise(F.array(size_class - 1, size_class))
+    spread = stored(one.join(blocks, "c").select("rep", "c", "n", "d", F.explode(windows).alias("w")), "windows")
+    wanted = spread.join(spread.groupBy("c", "w").agg(count.alias("nb")), ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb")).alias("ws"), F.first("d.t").alias("t"), F.first("d.doc_id").alias("chosen"))
+    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted.hint("merge"), "t").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("rep", "ws", "text")
+    sets = texts.mapInArrow(lambda b: _sets(b, width), "rep bigint, ws array<struct<c: bigint, nb: int>>, features binary").select("rep", "features", F.inline("ws"))
     block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     dealt = sets.withColumn("k", block).withColumn("o", other).where("o <> k or nb = 1").select("c", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "rep", "features")
-    links = dealt.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(_verify, "a bigint, b bigint")
+    links = dealt.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(lambda b: _verify(b, num, den), "a bigint, b bigint")
     tree = components(links)
     keyed = rows.select("doc_id", "n", "rep").join(tree.withColumnRenamed("u", "rep"), "rep", "left").withColumn("g", F.coalesce("root", "rep", F.xxhash64(F.lit("none"), "doc_id")))
     least = keyed.where("rep is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
     return keyed.join(least, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("rep").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = 0.0) -> DataFrame:
     """The documents less all but the first of each component. Of rows with one id, one stays; rows without an id stay."""
-    kept = join(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = join(docs, id_col, text_col, width=width, num=num, den=den, spare=spare).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.where(F.col(id_col).isNotNull()).join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -1,7 +1,7 @@
 """The corpus pipeline: STAGES over documents, each written as Parquet and read again as the next one's input.
 
 1. quality: documents that the quality classifier rejects go.
-2. near_duplicates: of each component of the n-gram Jaccard join one document stays.
+2. near_duplicates: of each component of the Jaccard join on 5-word shingles, linked from 0.8, one document stays.
 3. decontaminate: documents that have a window of a benchmark item go.
 4. secrets: found credentials are replaced by a mark, and n_chars is counted anew.
 5. mix: sources are mixed to their target weights; a row per draw.
@@ -22,7 +22,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, width=5, num=80, den=100, spare=0.2)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -409,6 +409,55 @@ def test_jaccard_keeps_one(docs, none):
     assert jaccard.join(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def kept_by_brute_force(rows, width=5, num=80, den=100):
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    least = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if least[i] != least[j] and a and b and den * len(a & b) >= num * len(a | b):
+                    least[i] = least[j] = min(least[i], least[j])
+                    changed = True
+    ids = {}
+    for (i, _), g in zip(rows, least):
+        ids[g] = min(ids.get(g, i), i)
+    return {i for (i, _), g in zip(rows, least) if ids[g] == i}
+
+
+def test_stage_removes_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    base = [f"v{i}" for i in range(200)]
+    edits = [f"edit{i // 50}" if i % 50 == 25 else w for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(edits)), (3, " ".join(base[:165])), (4, " ".join([*base, *[f"new{i}" for i in range(40)]])), (5, " ".join([*base[:120], *[f"other{i}" for i in range(80)]]))]
+    for n in (4, 5, 6, 8, 9, 12, 20, 33, 60, 150):
+        for cut in (0, 1, 2, n // 10, n // 6, n // 4):
+            rows.append((1000 + len(rows), " ".join([*[f"z{n}_{i}" for i in range(n)][cut:], f"e{cut}"])))
+    rows += [(5000 + i, prose(RND.randint(1, 60))) for i in range(30)]
+    want = kept_by_brute_force(rows)
+    assert {2, 3, 4} & want == set() and 5 in want and len(want) < len(rows) - 20
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == sorted(want)
+    joined = jaccard.join(df, block_sets=3, width=5, num=80, den=100, spare=0.2).where("doc_id = component_id")
+    assert sorted(r.doc_id for r in joined.collect()) == sorted(want)
+
+
+def test_linked_sets_share_a_signature_with_spare_parts():
+    rng = np.random.default_rng(3)
+    for size in [*range(2, 60), 100, 333, 1000]:
+        for _ in range(12):
+            a = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+            b = np.r_[a[int(rng.integers(0, max(1, size // 6) + 1)) :], rng.integers(0, 1 << 62, int(rng.integers(0, max(1, size // 9) + 1)), dtype=np.uint64)]
+            if 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)) and set(a) != set(b):
+                sigs, n = jaccard.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([len(a), len(b)]), 80, 100, 0.2)
+                assert set(sigs[: n[0]].tolist()) & set(sigs[n[0] :].tolist())
+
+
 def test_components(spark):
     edges = [(RND.randrange(300), RND.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
     got = {r.u: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
