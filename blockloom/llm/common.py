@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folds A-Z to a-z and leaves all other bytes.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -77,5 +78,14 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def row_key(doc_id: Column, text_hash: Column) -> list[Column]:
+    """A row's id and text as columns that an equi-join can use: __id, __no (no id), __t."""
+    return [F.coalesce(doc_id, F.lit(0)).cast("bigint").alias("__id"), doc_id.isNull().alias("__no"), text_hash.alias("__t")]
 
 
+def rows_by_key(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left_semi", once: bool = False) -> DataFrame:
+    """The rows of docs whose id and text (keys: doc_id, t = xxhash64 of the text) are among keys, or with left_anti are not. Each row is judged by its own text, null ids too. once: of rows alike in both, one."""
+    names = ["__id", "__no", "__t"]
+    keys = keys.select(*row_key(F.col("doc_id"), F.col("t"))).distinct()
+    found = docs.select("*", *row_key(F.col(id_col).cast("bigint"), F.xxhash64(text_col))).join(keys.hint("merge"), names, how)
+    return (found.dropDuplicates(names) if once else found).select(*docs.columns)

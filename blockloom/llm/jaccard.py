@@ -1,13 +1,18 @@
 """Exact Jaccard join of word-shingle sets by PartEnum signatures, and the components of its links.
 
 1. A text gives its set of distinct word shingles (64-bit hashes; 3 words unless told otherwise). Equal sets are one representative from here on.
-2. Sizes fall into bands. A link needs a symmetric difference of at most k elements, k by band. The hash domain is cut into n1
-   parts and each into n2 subparts, with n1 * (k2 + 1) > k: some part has at most k2 differences, so some choice of n2 - k2 of its
-      subparts has none. Each choice's content is a signature, so linked sets share one. With spare parts, linked sets share a signature in
-   more parts than there are spare ones; a set in which no more than these have an empty choice leaves its empty signatures out.
-3. Sets that share signatures form candidate groups, as stars and not as pairs. A group's sets are compared exactly: in one
-   task if small, else among neighbouring size classes in blocks, all pairs of blocks, each task holding two. A task returns a spanning forest of its links.
-4. Components of the forests give the result. Nothing is capped, and no pairs are emitted.
+2. Sizes fall into bands; a link belongs to the band of its smaller set, so a set has signatures of its own band and, unless it is too large for that, of the one
+   below. A link needs a symmetric difference of at most k elements, k by the two sizes. The hash domain is cut into parts and each into n2 subparts. A set
+   takes the first k // (k2 + 1) + 1 parts, k being the most that any of its links in the band may differ by: of the parts that two linked sets both take, one
+   at least has at most k2 differences, so some choice of n2 - k2 of its subparts has none. Each choice's content is a signature, so linked sets share one.
+   With spare parts, linked sets agree in more parts than there are spare ones; a set in which no more than these have an empty choice leaves its empty
+   signatures out.
+3. Signatures are dealt by their value; those of one set only go. Sets that share one form a group, and groups of the same sets are one. In a group each set
+   carries a sketch: the parity of its elements in buckets. Two sketches differ in at most as many buckets as the sets differ in elements, so a pair whose
+   sketches differ in more than k can't be linked. The other pairs of a group give a spanning forest; a very large group is dealt in pairs of blocks.
+4. The components of these forests are compared exactly: in one task if small, else among neighbouring size classes in blocks, all pairs of blocks, each
+   task holding two. A task returns a spanning forest of its links.
+5. Components of the forests give the result. Nothing is capped, and no pairs are emitted.
 
 Cases: null and empty texts, or those without words, have an empty set and link with nothing. Fewer than 3 words are one shingle.
 Repeated rows give a row each. Null ids are skipped when a component's id is chosen. Empty tables give empty results.
@@ -21,28 +26,32 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, hash_words, mix, shingle_hashes, stored, table, text_chunks, utf8
+from .common import LOWER, hash_words, mix, row_key, rows_by_key, shingle_hashes, stored, table, text_chunks, utf8
 from .graph import components
 
 WIDTH, NUM, DEN = 3, 90, 100
 #: Differences allowed in a part, and subparts of a part.
-K2, N2 = 1, 3
+K2, N2 = 1, 2
 SUBSETS = list(combinations(range(N2), N2 - K2))
+#: Spare parts, as a share of those needed.
+SPARE = 0.15
+#: Bytes of text that one task's signatures come from, about.
+TASK_BYTES = 6 << 20
 
 
-def bands(largest: int, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """By band: its last size, the largest size that links with one in it, k, and n1. A band's sizes grow by three tenths, more than a link's two sizes may differ by."""
+def bands(largest: int, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By band: its last size, the largest size that links with one in it, and the most differences of a link. A band's sizes grow by three tenths, more than a link's two sizes may differ by."""
     ends, low = [], 1
     while not ends or ends[-1] < largest:
         ends.append(max(low, low * 13 // 10, low * den // num))
         low = ends[-1] + 1
     last = np.array(ends, np.int64)
     reach = last * den // num
-    k = (den - num) * (last + reach) // (den + num)
-    return last, reach, k, k // (K2 + 1) + 1
+    return last, reach, (den - num) * (last + reach) // (den + num)
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -56,44 +65,59 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
 
 
-def signatures(features: np.ndarray, sizes: np.ndarray, num: int = NUM, den: int = DEN, spare: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of all sets and the number of each set's. Sets that link only with equal ones (k = 0) get none. spare: further parts, as a share of those needed less one.
+def signatures(features: np.ndarray, sizes: np.ndarray, num: int = NUM, den: int = DEN, spare: float = SPARE) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of all sets and the number of each set's. Sets that link only with equal ones (k = 0) get none.
 
-    Linked sets agree in at least one part more than the spare ones. If one of the two has empty choices in no more than the spare parts, they
-    agree in a part without any, and both emit it; if both have them in more, both emit all their signatures."""
-    last, reach, k, n1 = bands(int(sizes.max(initial=1)) + 1, num, den)
-    more = np.ceil((n1 - 1) * spare).astype(np.int64)
-    n1 = n1 + more
+    Two linked sets agree in at least one part more than the spare ones, of those that both take. If one of the two has empty choices in no more than
+    the spare parts, they agree in a part without any, and both emit it; if both have them in more, both emit all their signatures."""
+    last, reach, most = bands(int(sizes.max(initial=1)) + 1, num, den)
     own = np.searchsorted(last, sizes)
     below = np.maximum(own - 1, 0)
-    sets = np.r_[np.flatnonzero((k[own] > 0) & (sizes > 0)), np.flatnonzero((own > 0) & (sizes <= reach[below]) & (k[below] > 0))]
-    band = np.r_[own[sets[: (n := int(((k[own] > 0) & (sizes > 0)).sum()))]], below[sets[n:]]]
+    links = lambda a, b: (den - num) * (a + b) // (den + num)
+    k_own, k_below = links(sizes, sizes * den // num), np.where((own > 0) & (sizes <= reach[below]), links(sizes, last[below]), 0)
+    k_own[sizes == 0] = 0
+    sets = np.r_[np.flatnonzero(k_own), np.flatnonzero(k_below)]
+    band, k = np.r_[own[k_own > 0], below[k_below > 0]], np.r_[k_own[k_own > 0], k_below[k_below > 0]]
     order = np.argsort(sets, kind="stable")
-    sets, band = sets[order], band[order]
+    sets, band, k = sets[order], band[order], k[order]
+    more = np.ceil(most // (K2 + 1) * spare).astype(np.int64)[band]
+    parts, taken = most[band] // (K2 + 1) + 1 + more, k // (K2 + 1) + 1 + more
     starts = np.cumsum(sizes) - sizes
-    parts = n1[band]
-    first = np.cumsum(parts) - parts
+    first = np.cumsum(taken) - taken
     count = sizes[sets]
     entry = np.repeat(np.arange(len(sets)), count)
     x = features[np.repeat(starts[sets] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
     place = mix(x, 11)
-    slot = (first[entry] + ((place >> np.uint64(8)) % parts[entry].astype(np.uint64)).astype(np.int64)) * N2 + (place & np.uint64(255)).astype(np.int64) % N2
-    content = np.zeros(int(parts.sum()) * N2, np.uint64)
+    part = ((place >> np.uint64(8)) % parts[entry].astype(np.uint64)).astype(np.int64)
+    used = part < taken[entry]
+    entry, part, x, place = entry[used], part[used], x[used], place[used]
+    slot = (first[entry] + part) * N2 + (place & np.uint64(255)).astype(np.int64) % N2
+    content = np.zeros(int(taken.sum()) * N2, np.uint64)
     np.add.at(content, slot, mix(x, 12))
+    held = np.bincount(slot, minlength=len(content)).reshape(-1, N2) > 0
     content = content.reshape(-1, N2)
-    name = mix(np.repeat(band, parts).astype(np.uint64) << np.uint64(40) | (np.arange(len(content)) - np.repeat(first, parts)).astype(np.uint64), 13)
+    owner = np.repeat(np.arange(len(sets)), taken)
+    name = mix(band[owner].astype(np.uint64) << np.uint64(40) | (np.arange(len(content)) - first[owner]).astype(np.uint64), 13)
     out = np.stack([mix(content[:, list(s)].sum(axis=1, dtype=np.uint64) + mix(name, 20 + i), 14) for i, s in enumerate(SUBSETS)], axis=1)
-    if not spare:
-        return out.reshape(-1), np.bincount(sets, parts * len(SUBSETS), len(sizes)).astype(np.int64)
-    held = np.bincount(slot, minlength=len(content) * N2).reshape(-1, N2) > 0
     full = np.stack([held[:, list(s)].any(axis=1) for s in SUBSETS], axis=1)
-    owner = np.repeat(np.arange(len(sets)), parts)
-    full |= (np.bincount(owner, ~full.all(axis=1), len(sets)) > more[band])[owner, None]
+    full |= (np.bincount(owner, ~full.all(axis=1), len(sets)) > more)[owner, None]
     return out[full], np.bincount(sets[owner], full.sum(axis=1), len(sizes)).astype(np.int64)
 
 
-def signed(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = 0.0) -> DataFrame:
-    """Per document: doc_id, t (hash of its text), n (set size), rep (hash of the set, null if empty), sigs (for the first of equal sets in a task)."""
+def sketches(features: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Per set a bit for each bucket: whether its number of elements there is odd. There are 64 buckets or more, a power of two, at least half the set's size up to 16384."""
+    bits = np.full(len(sizes), 64, np.int64)
+    for _ in range(8):
+        bits[2 * bits < sizes] *= 2
+    first = np.cumsum(bits) - bits
+    bucket = (mix(features, 17) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(np.repeat(first, sizes) + bucket, minlength=int(bits.sum())) & 1).astype(np.uint8))
+    offsets = np.r_[0, np.cumsum(bits // 8)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(odd)])
+
+
+def signed(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = SPARE) -> DataFrame:
+    """Rows of two kinds: a document's (key, rep: the hash of its set, null if empty; doc) and a signature's (key, rep). Of equal sets in a task only the first has a sketch and signatures."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -107,30 +131,157 @@ def signed(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
                 if sizes[i] and r not in seen:
                     seen.add(r)
                     new[i] = True
-            sigs, n = signatures(features[np.repeat(new, sizes)], sizes[new], num, den, spare)
-            counts = np.zeros(len(sizes), np.int64)
-            counts[new] = n
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(sigs.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("t"), pa.array(sizes), pa.array(rep, mask=sizes == 0), lists], names=["doc_id", "t", "n", "rep", "sigs"])
+            own = features[np.repeat(new, sizes)]
+            sketch = sketches(own, sizes[new]).take(pa.array(np.where(new, np.cumsum(new) - 1, 0), mask=~new))
+            doc = pa.StructArray.from_arrays([chunk.column("doc_id"), chunk.column("t"), pa.array(sizes), sketch], fields=list(DOC_TYPE))
+            key = np.where(sizes > 0, rep, chunk.column("t").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep, mask=sizes == 0), doc], names=["key", "rep", "doc"])
+            sigs, n = signatures(own, sizes[new], num, den, spare)
+            for a in range(0, len(sigs), 1 << 18):
+                part = pa.array(sigs[a : a + (1 << 18)].view(np.int64))
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.repeat(rep[new], n)[a : a + (1 << 18)]), pa.nulls(len(part), DOC_TYPE)], names=["key", "rep", "doc"])
+
+    return docs.mapInArrow(sign, f"key bigint, rep bigint, {DOC}")
+
+
+DOC = "doc struct<doc_id: bigint, t: bigint, n: bigint, sketch: binary>"
+DOC_TYPE = pa.struct([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(sign, "doc_id bigint, t bigint, n bigint, rep bigint, sigs array<bigint>")
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, rep): documents as they are, and the members of groups of two sets or more. A group of up to `most` sets is named by its members, so equal ones can be merged; a larger one (big) by its signature."""
+    key, reps = None, np.zeros(0, np.int64)  # the group that may go on in the next batch; of a big one, its last member
+    big = False
 
+    def rows(g: np.ndarray, rep: np.ndarray, large: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), large)), pa.array(rep), pa.nulls(len(g), DOC_TYPE)], names=["g", "big", "rep", "doc"])
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (sig, rep): each rep's edge to the first one with its signature."""
-    sig0 = rep0 = None
     for batch in batches:
-        if not batch.num_rows:
+        is_doc = batch.column("doc").is_valid()
+        docs = batch.filter(is_doc)
+        if docs.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.nulls(docs.num_rows, pa.int64()), pa.nulls(docs.num_rows, pa.bool_()), docs.column("rep"), docs.column("doc")], names=["g", "big", "rep", "doc"])
+        mine = batch.filter(pc.invert(is_doc))
+        if not mine.num_rows:
             continue
-        sig, rep = batch.column("sig").to_numpy(), batch.column("rep").to_numpy()
-        new = np.r_[True, sig[1:] != sig[:-1]]
-        head = rep[np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0))]
-        if sig[0] == sig0:
-            head[: len(sig) if new.sum() == 1 else int(np.flatnonzero(new)[1])] = rep0
-        edges = np.unique(np.stack([rep, head], axis=1)[rep != head], axis=0)
-        if len(edges):
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
-        sig0, rep0 = sig[-1], head[-1]
+        sig, rep = mine.column("key").to_numpy(), mine.column("rep").to_numpy()
+        if key is not None:
+            sig, rep = np.r_[np.full(len(reps), key), sig], np.r_[reps, rep]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (rep[1:] != rep[:-1])]
+        sig, rep = sig[new], rep[new]
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        size = np.diff(np.r_[start, len(sig)])
+        if big and size[0] > 1:  # what goes on of a big group; its held member is out already
+            yield rows(np.full(size[0] - 1, key), rep[1 : size[0]], True)
+        done = np.ones(len(start), bool)
+        done[-1] = False
+        done[0] &= not big
+        yield from _named(sig, rep, start[done], size[done], most, rows)
+        goes_on = big and len(start) == 1
+        key, reps, big = sig[-1], rep[start[-1] :], goes_on
+        if not big and size[-1] > most:
+            yield rows(np.full(len(reps), key), reps, True)
+            big = True
+        if big:
+            reps = reps[-1:]
+    if key is not None and not big:
+        yield from _named(np.full(len(reps), key), reps, np.zeros(1, np.int64), np.array([len(reps)]), most, rows)
+
+
+def _named(sig: np.ndarray, rep: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, rows) -> Iterator[pa.RecordBatch]:
+    """Members of whole groups."""
+    for large in (False, True):
+        chosen = (size > most) if large else (size > 1) & (size <= most)
+        if chosen.any():
+            a, n = start[chosen], size[chosen]
+            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            if large:
+                yield rows(sig[at], rep[at], True)
+                continue
+            name = mix(np.add.reduceat(mix(rep[at].view(np.uint64), 18), np.cumsum(n) - n) + n.astype(np.uint64), 19).view(np.int64)
+            g, r = np.repeat(name, n), rep[at]
+            once = np.unique(np.stack([g, r], axis=1), axis=0)
+            yield rows(once[:, 0], once[:, 1], False)
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Nodes 0 to n - 1 and edges: the smallest node of each one's component."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        nxt = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(nxt, end, least)
+        nxt = nxt[nxt]
+        if (nxt == label).all():
+            return label
+        label = nxt
+
+
+def near_pairs(groups: np.ndarray, n: np.ndarray, marks: list[bytes], num: int, den: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by group: the pairs of rows in a group that sizes and sketches allow to be linked."""
+    start = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    size = np.diff(np.r_[start, len(groups)])
+    width = np.array([len(m) for m in marks])
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for w in np.unique(width)[::-1].tolist():  # from the widest down, each width's matrix holds the wider ones folded to it
+        at = np.flatnonzero(width >= w)
+        m = np.zeros((len(groups), w), np.uint8)
+        if wider := folded.get(2 * w):
+            m[wider[0]] = wider[1][wider[0], :w] ^ wider[1][wider[0], w:]
+        else:
+            for r in at[width[at] > w]:
+                m[r] = np.bitwise_xor.reduce(np.frombuffer(marks[r], np.uint8).reshape(-1, w), axis=0)
+        for r in np.flatnonzero(width == w):
+            m[r] = np.frombuffer(marks[r], np.uint8)
+        folded[w] = (at, m)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for z in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(z, 1)
+        heads = start[size == z]
+        for h in range(0, len(heads), max(1, step // len(i))):
+            a, b = ((heads[h : h + max(1, step // len(i)), None] + x).ravel() for x in (i, j))
+            ok = np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])
+            a, b = a[ok], b[ok]
+            most = (den - num) * (n[a] + n[b]) // (den + num)
+            w = np.minimum(width[a], width[b])
+            for own in np.unique(w).tolist():
+                m = folded[own][1]
+                pairs = np.flatnonzero(w == own)
+                for x in range(0, len(pairs), 1 << 24 // own.bit_length()):
+                    p = pairs[x : x + (1 << 24 // own.bit_length())]
+                    p = p[np.bitwise_count(m[a[p]] ^ m[b[p]]).sum(axis=1) <= most[p]]
+                    out.append((a[p], b[p]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def _near(batches: Iterator[pa.RecordBatch], num: int, den: int, limit: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (g, i, j): forests of the pairs that may be linked, over about `limit` rows at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def done(rows: pa.Table, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
+        reps, node = np.unique(rows.column("rep").to_numpy(), return_inverse=True)
+        a, b = near_pairs(groups, rows.column("n").to_numpy(), rows.column("sketch").to_pylist(), num, den)
+        root = _labels(len(reps), node[a], node[b])
+        if (tied := root != np.arange(len(reps))).any():
+            yield pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[root[tied]])], names=["a", "b"])
+
+    def named(rows: pa.Table) -> np.ndarray:
+        g, i, j = (rows.column(x).to_numpy() for x in "gij")
+        return np.cumsum(np.r_[0, (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= limit:
+            rows = pa.Table.from_batches(held)
+            groups = named(rows)
+            whole = int(np.searchsorted(groups, groups[-1]))  # the last group may go on
+            if whole:
+                yield from done(rows.slice(0, whole), groups[:whole])
+            held = rows.slice(whole).combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        rows = pa.Table.from_batches(held)
+        yield from done(rows, named(rows))
 
 
 def forest(reps: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int = DEN, slice_: int = 4096) -> list[tuple[int, int]]:
@@ -194,40 +345,63 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([chunk.column("rep"), chunk.column("ws"), pa.array(own, pa.binary())], names=["rep", "ws", "features"])
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, sigs_per_task: int = 1 << 20, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = 0.0) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class_id (the set's hash, null without words). Sets of shingles of `width` words link from a likeness of num / den."""
+def in_blocks(rows: DataFrame, key: str, nb: str = "nb") -> DataFrame:
+    """Deals rows of a key in nb blocks to all pairs of them: adds i, j."""
+    block = F.pmod(F.xxhash64("rep"), F.col(nb)).cast("int")
+    both = rows.withColumn("k", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col(nb) - 1))).where(f"o <> k or {nb} = 1")
+    return both.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")}).drop("k", "o", nb)
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, task_bytes: int = TASK_BYTES, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = SPARE) -> tuple[DataFrame, DataFrame]:
+    """Per document: doc_id, t (hash of its text), n (set size), rep (the set's hash, null without words), g (its component); and per component: g, least (smallest id), head (the first row's id and t, null ids last)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(signed(docs, width, num, den, spare), "signed")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.agg(F.sum(F.size("sigs"))).first()[0] or 0) // sigs_per_task))
-    shared = rows.select("rep", F.explode("sigs").alias("sig")).repartition(tasks, "sig").sortWithinPartitions("sig", "rep").mapInArrow(_stars, "a bigint, b bigint")
-    roots = components(shared)
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+    dealt = signed(docs.select("doc_id", "t", "text"), width, num, den, spare).repartition(tasks, "key").sortWithinPartitions("key", "rep")
+    grouped = stored(dealt.mapInArrow(lambda b: _groups(b, block_sets), f"g bigint, big boolean, rep bigint, {DOC}"), "signed")
+    rows = grouped.where("doc is not null").select("doc.doc_id", "doc.t", "doc.n", "rep", "doc.sketch")
+    members = grouped.where("doc is null").select("g", "big", "rep").distinct()
+    reps = rows.where("rep is not null").groupBy("rep").agg(F.min(F.struct("t", "doc_id")).alias("d"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    named = stored(members.join(reps, "rep").select("g", "big", "rep", "n", "sketch"), "groups")
+    large = named.where("big")
+    large = in_blocks(large.join(large.groupBy("g").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("nb")), "g"), "g")
+    pairs = named.where("not big").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(large).drop("big")
+    near = pairs.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lambda b: _near(b, num, den), "a bigint, b bigint")
+    roots = components(near)
     member = stored(roots.select(F.col("u").alias("rep"), F.col("root").alias("c")).union(roots.select(F.col("root").alias("rep"), F.col("root").alias("c")).distinct()), "candidates")
-    one = rows.where("rep is not null").join(member, "rep").groupBy("rep", "c").agg(F.min(F.struct("t", "doc_id")).alias("d"), F.first("n").alias("n"))
-    one = stored(one, "chosen")
+    one = stored(reps.drop("sketch").join(member, "rep"), "chosen")
     count = F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count("*") / block_sets)).cast("int")
     blocks = one.groupBy("c").agg(count.alias("nb"))
-    # Linked sets are in one size class or in neighbouring ones; a window is a class and the next one. Small groups are one window.
+    # Linked sets are in one size class or in neighbouring ones; a window is a class and the next one. Small components are one window.
     size_class = F.floor(F.log("n") / math.log(1.001 * den / num))
     windows = F.when(F.col("nb") == 1, F.array(F.lit(-2).cast("bigint"))).otherwise(F.array(size_class - 1, size_class))
     spread = stored(one.join(blocks, "c").select("rep", "c", "n", "d", F.explode(windows).alias("w")), "windows")
-    wanted = spread.join(spread.groupBy("c", "w").agg(count.alias("nb")), ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb")).alias("ws"), F.first("d.t").alias("t"), F.first("d.doc_id").alias("chosen"))
-    texts = docs.withColumn("t", F.xxhash64("text")).join(wanted.hint("merge"), "t").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("rep", "ws", "text")
+    wanted = spread.join(spread.groupBy("c", "w").agg(count.alias("nb")), ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb")).alias("ws"), F.first("d").alias("d"))
+    wanted = wanted.select("rep", "ws", *row_key(F.col("d.doc_id"), F.col("d.t")))
+    texts = docs.select("text", *row_key(F.col("doc_id"), F.col("t"))).join(wanted.hint("merge"), ["__id", "__no", "__t"]).select("rep", "ws", "text")
     sets = texts.mapInArrow(lambda b: _sets(b, width), "rep bigint, ws array<struct<c: bigint, nb: int>>, features binary").select("rep", "features", F.inline("ws"))
-    block = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    dealt = sets.withColumn("k", block).withColumn("o", other).where("o <> k or nb = 1").select("c", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "rep", "features")
-    links = dealt.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(lambda b: _verify(b, num, den), "a bigint, b bigint")
+    links = in_blocks(sets, "c").repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j").select("c", "i", "j", "rep", "features").mapInArrow(lambda b: _verify(b, num, den), "a bigint, b bigint")
     tree = components(links)
-    keyed = rows.select("doc_id", "n", "rep").join(tree.withColumnRenamed("u", "rep"), "rep", "left").withColumn("g", F.coalesce("root", "rep", F.xxhash64(F.lit("none"), "doc_id")))
-    least = keyed.where("rep is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
+    keyed = rows.select("doc_id", "t", "n", "rep").join(tree.withColumnRenamed("u", "rep"), "rep", "left").withColumn("g", F.coalesce("root", "rep")).drop("root")
+    # Stored, so that the join with a component of very many documents can be split.
+    least = stored(keyed.where("rep is not null").groupBy("g").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("head")), "least")
+    return keyed, least
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, class_id (the set's hash, null without words). Sets of shingles of `width` words link from a likeness of num / den; options are those of classes()."""
+    keyed, least = classes(docs, id_col, text_col, **options)
+    keyed = keyed.withColumn("g", F.coalesce("g", F.xxhash64(F.lit("none"), "doc_id")))
     return keyed.join(least, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("rep").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = 0.0) -> DataFrame:
-    """The documents less all but the first of each component. Of rows with one id, one stays; rows without an id stay."""
-    kept = join(docs, id_col, text_col, width=width, num=num, den=den, spare=spare).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(kept.hint("merge"), id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents less all but the first of each component, by id (null ids last) and then by text. Of rows alike in id and text one stays; different texts under one id are
+    judged each by itself. Rows without words link with nothing and stay."""
+    keyed, least = classes(docs, id_col, text_col, **options)
+    heads = least.select("head.doc_id", "head.t").union(keyed.where("rep is null").select("doc_id", "t"))
+    return rows_by_key(docs, heads, id_col, text_col, once=True)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

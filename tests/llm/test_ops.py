@@ -443,7 +443,7 @@ def test_stage_removes_near_copies_of_five_words(spark):
     assert {2, 3, 4} & want == set() and 5 in want and len(want) < len(rows) - 20
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == sorted(want)
-    joined = jaccard.join(df, block_sets=3, width=5, num=80, den=100, spare=0.2).where("doc_id = component_id")
+    joined = jaccard.join(df, block_sets=3, width=5, num=80, den=100).where("doc_id = component_id")
     assert sorted(r.doc_id for r in joined.collect()) == sorted(want)
 
 
