@@ -520,11 +520,6 @@ def o80(spark, sf):
 
 
 # ---- codecs: frames of blocks to streams and back
-@query("o51_encode")
-def o51(spark, sf):
-    return codec.encode_slices(coded(spark, sf).select("frame", "block_id", "zz"), restart=16).select("frame", "slice", "nbits", F.hex("data").alias("data"))
-
-
 @query("o52_decode", _with(*CODED) + "SELECT frame, CAST(k AS INTEGER) AS k, CAST(sum(v) AS BIGINT) AS total, CAST(sum(abs(v)) AS BIGINT) AS magnitude FROM qz GROUP BY ALL")
 def o52(spark, sf):
     slices = codec.encode_slices(coded(spark, sf).select("frame", "block_id", "zz"), restart=16)
@@ -532,17 +527,9 @@ def o52(spark, sf):
     return z.groupBy("frame", "k").agg(F.sum("v").cast("bigint").alias("total"), F.sum(F.abs("v")).cast("bigint").alias("magnitude"))
 
 
-@query("o84_simple")
-def o84(spark, sf):
-    return codec.encode(codec.raster_frames(views.ras1(spark, sf), 10), codec.Config(150, 10, quality=Q)).select("frame", F.octet_length("jpeg").alias("n_bytes"), F.sha2("jpeg", 256).alias("sha256"))
-
-
 @query("o85_advanced")
 def o85(spark, sf):
     return codec.encode(codec.raster_frames(views.ras1(spark, sf), 10), codec.Config(150, 10, quality=Q, optimise_coefficients=True, optimise_tables=True)).select("frame", F.octet_length("jpeg").alias("n_bytes"), F.sha2("jpeg", 256).alias("sha256"))
 
 
-@query("o86_decoder")
-def o86(spark, sf):
-    jpeg = codec.encode(codec.raster_frames(views.ras1(spark, sf), 10), codec.Config(150, 10, quality=90, restart=5))
-    return codec.decode(jpeg).select("frame", "width", "height", F.size("px").alias("n"), F.aggregate("px", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"))
+from . import catalog_streams  # noqa: E402, F401  (registers further queries)

@@ -98,3 +98,15 @@ def slices(data: bytes) -> list[bytes]:
             return out
         start = at = at + 2
     return [*out, data[start:]]
+
+
+def walk(data: bytes) -> list[tuple[int, bytes | None]]:
+    """Markers after SOI in order: segments up to the scan's with their payloads, then the restart markers in the data, without any."""
+    out, at, marker = [], 2, 0
+    while marker != SOS:
+        mark, marker, size = struct.unpack_from(">BBH", data, at)
+        if mark != 0xFF:
+            raise ValueError("a segment doesn't begin with a marker")
+        out.append((marker, data[at + 4 : at + 2 + size]))
+        at += 2 + size
+    return out + [(m, None) for _, m in markers(data[at:]) if RST <= m <= RST + 7]

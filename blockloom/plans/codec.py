@@ -5,12 +5,12 @@ from __future__ import annotations
 import configparser
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jfif
@@ -42,20 +42,66 @@ class Config:
 
     @classmethod
     def read(cls, text: str = "", **more) -> Config:
-        """From INI text (sections are flattened, # and ; begin comments, quotes are dropped) and keywords; what comes later wins."""
-        ini = configparser.ConfigParser(comment_prefixes=("#", ";"), inline_comment_prefixes=("#", ";"))
-        ini.read_string("[root]\n" + text)
-        found = {k.replace("_", ""): v.strip("\"'") for s in ini.sections() for k, v in ini[s].items()}
-        kinds = {f.name: f.type for f in fields(cls)}
-        as_kind = {"int": int, "bool": lambda v: v.lower() in ("1", "true", "yes"), "str": str}
-        own = {n: as_kind[t](found[n.replace("_", "")]) for n, t in kinds.items() if n.replace("_", "") in found}
-        return cls(**(own | more))
+        """From INI text (sections are flattened, # and ; begin comments, quotes are dropped; fields' or parameters' names) and keywords; what comes later wins."""
+        return cls(**(_settings(text) | more))
+
+    @classmethod
+    def from_arguments(cls, tokens: list[str], files: dict[str, str] | None = None, **defaults) -> Config:
+        """From command-line tokens: -short value or --Name value (or --Name=value). -c names an INI text of `files` and may be repeated; what comes later wins."""
+        found, at = dict(defaults), 0
+        while at < len(tokens):
+            name, _, value = tokens[at].lstrip("-").partition("=")
+            if not tokens[at].startswith("-") or not (value or at + 1 < len(tokens)):
+                raise ValueError(f"not a parameter with its value: {tokens[at]}")
+            if not value:
+                at += 1
+                value = tokens[at]
+            if name == "c":
+                found |= _settings((files or {})[value])
+            else:
+                found |= _setting(name, value)
+            at += 1
+        return cls(**found)
 
     @property
     def sampling(self) -> tuple[int, int]:
         return jfif.SAMPLING[self.chroma]
 
 
+#: Parameters' names, lower-cased, and short flags: fixed values.
+PARAMETERS = {
+    "picturewidth": "width", "pw": "width", "pictureheight": "height", "ph": "height", "chromaformat": "chroma", "cf": "chroma",
+    "quality": "quality", "q": "quality", "quanttablayout": "layout", "qtl": "layout", "restartinterval": "restart", "ri": "restart",
+    "optquantcoeffs": "optimise_coefficients", "oqc": "optimise_coefficients", "processzerocoeffs": "process_zeros", "pzc": "process_zeros",
+    "optentropytables": "optimise_tables", "oet": "optimise_tables", "numoptpassesblock": "block_passes", "npb": "block_passes",
+    "numoptpassespic": "picture_passes", "npp": "picture_passes", "lambdaestmode": "lambda_mode", "lem": "lambda_mode",
+    "distcalkmode": "exact_distortion", "dcm": "exact_distortion",
+}
+
+
+def _setting(name: str, value: str) -> dict:
+    """A parameter's field and value. PictureSize gives two; a name that is no setting of the codec gives none."""
+    key, value = name.lower().replace("_", ""), value.strip().strip("\"'")
+    if key in ("picturesize", "ps"):
+        return dict(zip(("width", "height"), map(int, value.lower().split("x"))))
+    kinds = {f.name: f.type for f in fields(Config)}
+    field = PARAMETERS.get(key) or next((n for n in kinds if n.replace("_", "") == key), None)
+    if field is None:
+        return {}
+    as_kind = {"int": int, "bool": lambda v: v.lower() in ("1", "true", "yes", "exact"), "str": str}
+    return {field: as_kind[kinds[field]](value)}
+
+
+def _settings(text: str) -> dict:
+    ini = configparser.ConfigParser(comment_prefixes=("#", ";"), inline_comment_prefixes=("#", ";"), strict=False)
+    ini.read_string("[root]\n" + text)
+    out: dict = {}
+    for section in ini.sections():
+        for name, value in ini[section].items():
+            out |= _setting(name, value)
+    return out
+
+
 def geometry(df: DataFrame, h: int, v: int) -> DataFrame:
     up = lambda c, n: F.ceil(F.col(c) / n).cast("int")
     return df.select("id", "w", "h", up("w", 8 * h).alias("mcus_x"), up("h", 8 * v).alias("mcus_y"), up("w", h).alias("chroma_w"), up("h", v).alias("chroma_h"))
@@ -94,8 +140,6 @@ def design_codes(histogram: DataFrame) -> DataFrame:
 
 def encode_slices(blocks: DataFrame, restart: int, table: int = 0) -> DataFrame:
     """blocks: frame, block_id, zz. A row per slice of `restart` blocks in block order: frame, slice, n, nbits, data."""
-    from pyspark.sql import Window
-
     codes = [(T.canonical(*T.standard("DC", table)), T.canonical(*T.standard("AC", table)))]
     place = F.row_number().over(Window.partitionBy("frame").orderBy("block_id")) - 1
     dealt = blocks.withColumn("slice", F.floor(place / restart).cast("int"))
@@ -293,3 +337,64 @@ def evaluate(frames: DataFrame, decoded: DataFrame) -> DataFrame:
     both = frames.select("frame", F.flatten("planes").alias("a")).join(decoded.select("frame", F.col("px").alias("b")), "frame")
     rows = both.select("frame", F.explode(F.zip_with("a", "b", lambda a, b: (b - a).cast("bigint"))).alias("d"))
     return psnr(rows)
+
+
+def exact_mean(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, mean, n: means that don't depend on the order of rows: sums are of decimals with 18 places, in partial sums by task."""
+    total = F.sum(F.col(value).cast("decimal(38,18)")).cast("double")
+    return df.groupBy(key).agg(F.round(total / F.count(value), 6).alias("mean"), F.count(value).alias("n"))
+
+
+def join_chunks(slices: DataFrame) -> DataFrame:
+    """slices: frame, slice, nbits, data (stuffed bytes). frame, nbits, bits: a frame's chunks joined at the bit, in order, as text of 0 and 1."""
+
+    @F.arrow_udf("string")
+    def text(data: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array(["".join(f"{b:08b}" for b in K.unstuff(d))[:m] for d, m in zip(data.to_pylist(), n.to_pylist())], pa.string())
+
+    chunks = slices.select("frame", "slice", "nbits", text("data", "nbits").alias("s"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slice", "s"))), lambda x: x["s"]), "")
+    return chunks.groupBy("frame").agg(F.sum("nbits").alias("nbits"), joined.alias("bits"))
+
+
+def by_frame(order: str):
+    return Window.partitionBy("frame").orderBy(order)
+
+
+def segments(streams: DataFrame) -> DataFrame:
+    """streams: frame, jpeg. A row per segment before the data (i, marker, length, payload: hex text) and per restart marker in it (length 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for frame, data in zip(batch.column("frame").to_pylist(), batch.column("jpeg").to_pylist()):
+                found = jfif.walk(data)
+                yield pa.RecordBatch.from_arrays([pa.array([frame] * len(found), pa.int32()), pa.array(range(len(found)), pa.int32()), pa.array([f"{m:02X}" for m, _ in found]), pa.array([0 if p is None else len(p) + 2 for _, p in found], pa.int32()), pa.array([None if p is None else p.hex().upper() for _, p in found])], names=["frame", "i", "marker", "length", "payload"])
+
+    return streams.select("frame", "jpeg").mapInArrow(run, "frame int, i int, marker string, length int, payload string")
+
+
+def headers_of(streams: DataFrame) -> DataFrame:
+    """streams: frame, jpeg. What the header parser finds: frame, width, height, components, restart, quant_sum (of table 0), codes (symbols of all tables)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [jfif.parse(d) for d in batch.column("jpeg").to_pylist()]
+            cols = [[h["width"] for h in heads], [h["height"] for h in heads], [len(h["cmps"]) for h in heads], [h["restart"] for h in heads], [sum(h["quant"][0]) for h in heads], [sum(map(len, h["codes"].values())) for h in heads]]
+            yield pa.RecordBatch.from_arrays([batch.column("frame"), *[pa.array(c, pa.int32()) for c in cols]], names=["frame", "width", "height", "components", "restart", "quant_sum", "codes"])
+
+    return streams.select("frame", "jpeg").mapInArrow(run, "frame int, width int, height int, components int, restart int, quant_sum int, codes int")
+
+
+def replaced(cfg: Config, **changes) -> Config:
+    return replace(cfg, **changes)
+
+
+def compare(frames: DataFrame, a: Config, b: Config) -> DataFrame:
+    """frame, and for both configurations the bytes and the squared error of the decoded samples."""
+
+    def measured(cfg: Config, tag: str) -> DataFrame:
+        jpeg = encode(frames, cfg)
+        ssd = evaluate(frames, decode(jpeg)).select("frame", F.col("ssd").alias(f"ssd_{tag}"))
+        return jpeg.select("frame", F.octet_length("jpeg").alias(f"bytes_{tag}")).join(ssd, "frame")
+
+    return measured(a, "a").join(measured(b, "b"), "frame")

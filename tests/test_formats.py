@@ -69,6 +69,43 @@ def test_encode_decode_evaluate_and_stream(spark, tmp_path):
     assert [(r.frame, bytes(r.jpeg)) for r in out] == [(r.frame, bytes(r.jpeg)) for r in jpeg.orderBy("frame").collect()]
 
 
+def test_configuration():
+    text = """PictureSize = "24x16" ; a comment
+Quality = 60
+[opt]
+OptQuantCoeffs = 1  # on
+DistCalkMode = Approx
+layout = Flat
+FrameRate = 25
+"""
+    cfg = codec.Config.read(text, quality=70)
+    assert (cfg.width, cfg.height, cfg.quality, cfg.optimise_coefficients, cfg.exact_distortion, cfg.layout) == (24, 16, 70, True, False, "Flat")
+    own = codec.Config.from_arguments(["-q", "10", "-c", "a", "-cf", "422", "--RestartInterval=-1", "-oet", "1"], {"a": text})
+    assert (own.width, own.quality, own.chroma, own.restart, own.optimise_tables, own.exact_distortion) == (24, 60, 422, -1, True, False)
+    for wrong in (["-q"], ["q", "5"], ["-ps", "8x8", "-q", "101"]):
+        with pytest.raises(ValueError):
+            codec.Config.from_arguments(wrong, width=8, height=8)
+
+
+def test_segments_and_chunks(spark):
+    frames = spark.createDataFrame([(0, [[i % 251 for i in range(24 * 16)]])], stream.SCHEMA)
+    jpeg = codec.encode(frames, codec.Config(24, 16, quality=80, restart=2))
+    found = codec.segments(jpeg).orderBy("i").collect()
+    assert [r.marker for r in found] == ["E0", "DB", "DD", "C0", "C4", "C4", "DA", "D0", "D1"] and [r.length for r in found][-2:] == [0, 0]
+    assert tuple(codec.headers_of(jpeg).first())[:5] == (0, 24, 16, 1, 2)
+    parts = spark.createDataFrame([(0, 1, 9, b"\xff\x00\x80"), (0, 0, 3, b"\xbf")], "frame int, slice int, nbits bigint, data binary")
+    assert codec.join_chunks(parts).first().bits == "101" + "111111111"
+
+
+def test_passes_and_tables(spark):
+    y, x = np.mgrid[:16, :24]
+    frames = spark.createDataFrame([(i, [((x * 7 + y * y + i * 3) % 256).reshape(-1).tolist()]) for i in range(2)], stream.SCHEMA)
+    cfg = codec.Config(24, 16, quality=60)
+    rows = codec.compare(frames, cfg, codec.replaced(cfg, optimise_tables=True)).collect()
+    assert len(rows) == 2 and all(r.ssd_a == r.ssd_b and r.bytes_b < r.bytes_a for r in rows)
+    assert codec.compare(frames, codec.replaced(cfg, optimise_coefficients=True), codec.replaced(cfg, optimise_coefficients=True, block_passes=2, picture_passes=2)).count() == 2
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], stream.SCHEMA)
     cfg = codec.Config(8, 8)
