@@ -1,9 +1,11 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree, in DataFrame operations only.
 
-1. Sizes are summed by source and hash bucket: a block is one bucket of one source, of about block_words words at most.
+1. Sizes are summed by source and hash bucket: a block is one bucket of one source. A source has so many buckets that a block has about block_words words at
+   most, and all sources together have about max_blocks at most, so blocks grow where the corpus is very large.
 2. Targets: the budget is shared by weight; what lies above a source's limit is shared again by weight (water filling).
 3. A source's blocks are permuted. A target of f whole passes and a rest draws all blocks f times and then the rest from the
-   front of the permutation; the block that the rest ends in gives a part of its words. So words taken equal the floored target.
+   front of the permutation; the block that the rest ends in gives a part of its words. So words taken equal the floored target. With
+   whole=True the document that the rest ends in is taken whole if the rest has at least half of it, else not at all.
 4. The exact numbers of drawn blocks, one for each source, are split over the output shards by a binary tree: at a node, the
    left half's share of each source is a multivariate-hypergeometric draw (seeded by node, so reruns agree). The leaves' ranges
    of the permutation are disjoint, and rows get a hash position to be shuffled by within their shard.
@@ -25,6 +27,8 @@ from .common import stored, table
 
 #: Words are runs of other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: So many sources' numbers of blocks are sent to all executors at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -56,15 +60,22 @@ def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> C
         share = k.cast("double") / F.greatest(n, F.lit(1))
         mean = m * share
         wide = 12 * F.sqrt(F.greatest(mean * (1 - share), F.lit(0.0))) + 12
-        low, high = F.greatest(F.lit(0), m + k - n, F.floor(mean - wide)).cast("bigint"), F.least(m, k, F.ceil(mean + wide)).cast("bigint")
 
         def step(s: Column, i: Column) -> Column:
-            c = s["c"] + F.exp(_log_choose(k, i) + _log_choose(n - k, m - i) - a["all"])
-            return _let(c, lambda c: F.struct(c.alias("c"), F.when(c <= x, i + 1).otherwise(s["r"]).alias("r")))
+            """Adds the probability of i; the next one's follows from it."""
+            c = s["c"] + s["p"]
+            ratio = (k - i).cast("double") * (m - i).cast("double") / ((i + 1).cast("double") * (n - k - m + i + 1).cast("double"))
+            return F.struct(c.alias("c"), (s["p"] * ratio).alias("p"), F.when(c <= x, i + 1).otherwise(s["r"]).alias("r"))
 
-        return F.aggregate(F.sequence(low, high), F.struct(F.lit(0.0).alias("c"), low.alias("r")), step, lambda s: F.least(s["r"], high))
+        def search(b: Column) -> Column:
+            low, high = b["low"], b["high"]
+            first = F.exp(_log_choose(k, low) + _log_choose(n - k, m - low) - _log_choose(n, m))
+            return F.aggregate(F.sequence(low, high), F.struct(F.lit(0.0).alias("c"), first.alias("p"), low.alias("r")), step, lambda s: F.least(s["r"], high))
 
-    return _let(F.struct(u.alias("u"), total.alias("n"), marked.alias("k"), drawn.alias("m"), _log_choose(total, drawn).alias("all")), inner)
+        low = F.greatest(F.lit(0), m + k - n, F.floor(mean - wide)).cast("bigint")
+        return _let(F.struct(low.alias("low"), F.least(m, k, F.ceil(mean + wide)).cast("bigint").alias("high")), search)
+
+    return _let(F.struct(u.alias("u"), total.alias("n"), marked.alias("k"), drawn.alias("m")), inner)
 
 
 def _uniform(*of: Column) -> Column:
@@ -106,12 +117,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     return w.withColumn("target", F.least(F.col("cap"), F.coalesce(free * F.col("w"), F.col("cap")))).drop("w", "cap", "budget", "ratio", "level")
 
 
-def plan(docs: DataFrame, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, shards: int = 64, block_words: int = 1 << 18, seed: int = 42) -> DataFrame:
+def plan(docs: DataFrame, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, shards: int = 64, block_words: int = 1 << 18, max_blocks: int = 1 << 20, seed: int = 42, whole: bool = False) -> DataFrame:
     """The documents with source_size, target, taken (words the mix takes) and draws: an array of (epoch, shard, words). docs is read three times: store it first if its size is dear."""
     total = docs.agg(F.coalesce(F.sum(size_col), F.lit(0)).alias("n")).first().n
-    buckets = max(1, math.ceil(total / block_words))
+    block_words = max(block_words, math.ceil(total / max_blocks))
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    rows = docs.withColumns({"__mix_s": key, "__mix_h": F.xxhash64(F.lit(seed), F.col(id_col))}).withColumn("__mix_b", F.pmod(F.xxhash64(F.lit(seed + 1), "__mix_h"), F.lit(buckets)))
+    rows = docs.withColumns({"__mix_s": key, "__mix_h": F.xxhash64(F.lit(seed), F.col(id_col))})
+    buckets = stored(rows.groupBy("__mix_s").agg(F.greatest(F.lit(1), F.ceil(F.sum(size_col) / block_words)).cast("bigint").alias("__mix_n")), "mix-buckets")
+    rows = rows.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_SOURCES else buckets.hint("merge"), "__mix_s")
+    rows = rows.withColumn("__mix_b", F.pmod(F.xxhash64(F.lit(seed + 1), "__mix_h"), F.col("__mix_n"))).drop("__mix_n")
     blocks = rows.groupBy("__mix_s", "__mix_b").agg(F.sum(size_col).alias("words"), F.first(source_col).alias("__mix_source"))
     sources = targets(blocks.groupBy("__mix_s", "__mix_source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n")), weights, share, limit)
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
@@ -132,6 +146,8 @@ def plan(docs: DataFrame, size_col: str = "size", source_col: str = "source", id
     inside = Window.partitionBy("__mix_s", "__mix_b").orderBy("__mix_h", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__mix_before", F.coalesce(F.sum(size_col).over(inside), F.lit(0))).join(drawn, ["__mix_s", "__mix_b"])
     rows = rows.withColumn("__mix_part", F.greatest(F.lit(0), F.least(F.col(size_col), F.col("part") - F.col("__mix_before"))).cast("bigint"))
+    if whole:
+        rows = rows.withColumn("__mix_part", F.when(2 * F.col("__mix_part") >= F.col(size_col), F.col(size_col)).otherwise(0).cast("bigint"))
     own = F.transform("__mix_d", lambda d: F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), F.when(d["epoch"] < F.col("passes"), F.col(size_col)).otherwise(F.col("__mix_part")).alias("words")))
     rows = rows.withColumns({"taken": F.col("passes") * F.col(size_col) + F.col("__mix_part"), "draws": F.filter(own, lambda d: d["words"] > 0)})
     return rows.select(*docs.columns, "source_size", "target", "taken", "draws")
@@ -149,11 +165,8 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """A row per draw of a mix of the documents: their columns, epoch, shard, words and position. Where a draw takes a part of a text, text has these words, joined by spaces, and n_chars counts them."""
-    rows = mix(plan(stored(sized(docs), "mix-sized")))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).drop("size", "taken")
+    """A row per draw of a mix of the documents: their columns, epoch, shard, words and position. All draws take whole texts."""
+    return mix(plan(stored(sized(docs), "mix-sized"), whole=True)).drop("size", "taken")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
