@@ -2,7 +2,7 @@
 
 Parts of three roles are found in each whole text: access identifiers, secrets and endpoints. Strong parts stand by
 themselves. Weak candidates (a bare 40-character key, a mixed token, an account number) are reported only when, inside
-one scope, a complementary part stands near: an interval join of the parts' spans, widened by the scope, within each
+one scope, a complementary part stands near (for a token, an identifier: near an endpoint alone it may be any part of an address): an interval join of the parts' spans, widened by the scope, within each
 document. The join is a merge of sorted spans, so a text with many parts costs n log n, and no pairs are kept.
 
 Cases: null is an empty text without spans. Texts are scanned whole; a document's row is made from its text only, so
@@ -26,9 +26,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # what a longest run of 20 and more g
 HEX = re.compile(r"[0-9a-f]{24,}")  # of the longest runs, those of 24 and more
 #: Weak: only linked ones are reported. Endpoints only link.
 KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9+/=_.-])")  # with a digit, a small and a capital letter
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+|\barn:aws:[a-z0-9:*/._-]+|\b[a-z0-9.-]+\.amazonaws\.com\b", re.A)
 ACCOUNT = re.compile(r"(?i:(?:client|account|access)_?(?:id|key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._-]{8,})", re.A)
-KINDS = ("assign", "access", "hex", "key", "account")
+KINDS = ("assign", "access", "hex", "key", "account", "token")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string"
 
@@ -54,12 +55,16 @@ def all_spans(text: str, base: list[tuple[int, int, str]], scope: int) -> list[t
     """The base spans, with the weak candidates whose complement is in scope and which no base span covers."""
     keys = [m.span() for m in KEY.finditer(text)]
     accounts = [m.span(1) for m in ACCOUNT.finditer(text)]
-    if not keys and not accounts:
+    if not keys and not accounts and not any(s[2] == "access" for s in base):
         return base
     access, secrets = [s[:2] for s in base if s[2] == "access"], [s[:2] for s in base if s[2] != "access"]
+    named = {*keys, *accounts}
+    mixed = lambda t: any(c.isdigit() for c in t) and t.upper() != t != t.lower()
+    tokens = [m.span() for m in TOKEN.finditer(text) if m.span() not in named and mixed(m[0])] if access or accounts else []
     places = [m.span() for m in ENDPOINT.finditer(text)]
     near_id, near_place = linked(keys, access + accounts, scope), linked(keys, places, scope)
     more = [(*s, "key") for s, i, p in zip(keys, near_id, near_place) if i or p]
+    more += [(*s, "token") for s, i in zip(tokens, linked(tokens, access + accounts, scope)) if i]
     near_secret = linked(accounts, secrets + [s[:2] for s in more], scope)
     near_place = linked(accounts, places, scope)
     more += [(*s, "account") for s, i, p in zip(accounts, near_secret, near_place) if i and p]
