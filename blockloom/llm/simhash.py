@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, hash_words, mix, shingle_hashes, table
+from .common import LOWER, hash_words, mix, shingle_hashes, stored, table
 from .files import rows_of
 
 WIDTH, BYTES = 5, 16
@@ -116,23 +116,44 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return dealt.select("doc_id", "text", "k", "b", "last").mapInArrow(find, OUT)
 
 
-def within(marks: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """marks, queries: a column fingerprint (hex). Returns query, fingerprint, distance for all distinct pairs within the radius; blocks must exceed it."""
+def within(marks: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """marks, queries: a column fingerprint (hex). Returns query, fingerprint, distance for all distinct pairs within the radius; blocks must exceed it. With the
+    defaults there are 10 tables keyed by 51 bits, so even of 10^12 fingerprints few share a key by chance."""
     if blocks <= radius:
         raise ValueError("with so few blocks, a radius can touch all of them")
     cut = [8 * BYTES * i // blocks for i in range(blocks + 1)]
 
+    def block(b: int) -> Column:
+        """The block's bits: parts of the two 64-bit halves, moved to the low end."""
+        parts = []
+        for h in range(BYTES // 8):
+            low, high = max(cut[b], 64 * h), min(cut[b + 1], 64 * (h + 1))
+            if low < high:
+                parts.append(F.shiftrightunsigned(F.shiftleft(F.col("w")[h], low - 64 * h), 64 - (high - low)))
+        return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
+
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        words = [F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(BYTES // 4)]
-        rows = df.select("fingerprint").where("fingerprint is not null").distinct().select(F.col("fingerprint").alias(name), F.array(*words).alias(f"{name}_w"), F.concat(*[F.lpad(F.conv(F.substring("fingerprint", 1 + i, 1), 16, 2), 4, "0") for i in range(2 * BYTES)]).alias("bits"))
-        tables = [F.struct(F.lit(t).alias("t"), F.concat(*[F.substring("bits", 1 + cut[b], cut[b + 1] - cut[b]) for b in chosen]).alias("key")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-        return rows.select(name, f"{name}_w", F.explode(F.array(*tables)).alias("x")).select(name, f"{name}_w", "x.t", "x.key")
+        halves = [F.conv(F.substring("fingerprint", 1 + 16 * h, 16), 16, -10).cast("bigint") for h in range(BYTES // 8)]
+        rows = df.select("fingerprint").where("fingerprint is not null").distinct().select(F.col("fingerprint").alias(name), F.array(*halves).alias("w"))
+        keys = [F.xxhash64(F.lit(t), *[block(b) for b in chosen]) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
+        return rows.select(F.col("w").alias(f"{name}_w"), F.explode(F.array(*keys)).alias("key"))
 
     distance = F.aggregate(F.zip_with("query_w", "fingerprint_w", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    pairs = keyed(queries, "query").join(keyed(marks, "fingerprint"), ["t", "key"]).withColumn("distance", distance)
-    return pairs.where(F.col("distance") <= radius).select("query", "fingerprint", "distance").distinct()
+    pairs = keyed(queries, "query").join(keyed(marks, "fingerprint"), "key").withColumn("distance", distance)
+    text = lambda w: F.lower(F.concat(*[F.lpad(F.hex(w[h]), 16, "0") for h in range(BYTES // 8)]))
+    return pairs.where(F.col("distance") <= radius).select("query_w", "fingerprint_w", "distance").distinct().select(text(F.col("query_w")).alias("query"), text(F.col("fingerprint_w")).alias("fingerprint"), "distance")
+
+
+#: The query searches for all fingerprints so near those of every twentieth document.
+RADIUS, EVERY = 3, 20
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The op5 query: fingerprints of all documents and of their edited texts."""
-    return fingerprint(table(spark, sf_dir, "documents"))
+    """The op5 query: fingerprints of all documents and of their edited texts; for ids divisible by 20 also n_near (other fingerprints within the radius, of all documents) and n_alike (other documents that have its own or one of these)."""
+    rows = stored(fingerprint(table(spark, sf_dir, "documents")), "fingerprints")
+    wanted = rows.where(F.col("doc_id") % EVERY == 0)
+    found = stored(within(rows, wanted, RADIUS), "hamming")
+    of = rows.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    near = found.join(of, "fingerprint").groupBy("query").agg(F.count_if(F.col("distance") > 0).alias("n_near"), (F.sum("n") - 1).alias("n_alike"))
+    counts = wanted.select("doc_id", F.col("fingerprint").alias("query")).distinct().join(stored(near, "hamming-counts"), "query").select("doc_id", F.col("query").alias("fingerprint"), "n_near", "n_alike")
+    return rows.join(counts, ["doc_id", "fingerprint"], "left").select(*rows.columns, "n_near", "n_alike")

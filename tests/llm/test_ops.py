@@ -121,10 +121,17 @@ def test_mix(docs, block_words, shards):
     assert Counter(map(str, got)) == Counter(map(str, again))
 
 
-def test_mix_empty_and_part(docs, none):
+def test_mix_empty_and_whole(docs, none):
     assert mixing.plan(mixing.sized(none.drop("size"))).count() == 0
+    texts, by, taken = {r[1] for r in corpus()}, Counter(), Counter()
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     for r in mixing.mixture(docs.drop("size", "draws")).collect():
-        assert len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r.words and (r.n_chars == len(r.text))
+        assert r.text in texts and count(r.text) == r.words and r.n_chars == len(r.text)
+        taken[r.source] += r.words
+    for r in corpus():
+        by[r[3]] += count(r[1])
+    largest = max(count(r[1]) for r in corpus())
+    assert all(abs(taken[s] - t) <= largest / 2 + 1 for s, t in target_of(by).items())
 
 
 def test_hypergeometric(spark):
@@ -237,10 +244,45 @@ def test_decontaminate(spark, docs):
     assert sorted(map(key, (tuple(r) for r in blocks))) == sorted(map(key, (w[:4] for w in want)))
 
 
-def test_index_proximity(spark):
-    df = spark.createDataFrame([(1, "a x b y c"), (2, "c b a"), (3, "a b")], "doc_id bigint, text string")
-    seg = decontaminate.Segment(decontaminate.segments(df.coalesce(1), 8).first().asDict())
-    assert len(seg.near([b"a", b"b", b"c"], 5)) == 1 and len(seg.near([b"a", b"b", b"c"], 4)) == 0 and len(seg.near([b"a", b"b"], 2)) == 1
+def near_by_brute_force(rows, items, window, within):
+    out = []
+    for doc_id, text, *_ in rows:
+        w, found = [x.decode() for x in decontaminate.words_of((text or "").encode())], set()
+        spans = [set(w[a : a + within]) for a in range(len(w))]
+        for i, t in items:
+            b = [x.decode() for x in decontaminate.words_of((t or "").encode())]
+            for a in range(max(1, len(b) - window + 1) if b else 0):
+                if any(set(b[a : a + window]) <= s for s in spans):
+                    found.add("" if i is None else str(i))
+        out.append((str(doc_id), sorted(found)))
+    return sorted(out)
+
+
+def test_proximity_search(spark):
+    rows = [(1, "a x b y c"), (2, "c b a"), (3, "a b"), (4, "b b a a z z z c"), (5, None), (6, "c"), (None, "C, b; a!"), (7, "q a"), (8, "b c q"), (9, prose(200)), (10, " ".join("abcd"[i % 4] for i in range(40)))]
+    rows += [(20 + i, " ".join(RND.choice("abcdefgh") for _ in range(30))) for i in range(8)]
+    items = [(1, "a b c"), (2, "c c"), (3, "q"), (None, "a d"), (4, ""), (5, None), (6, " ".join("abcdefgh")), (7, "h g a f")]
+    df, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for window, within, size in ((3, 3, 4 << 20), (3, 5, 4 << 20), (8, 12, 4 << 20), (2, 4, 20), (8, 30, 200)):
+        got = decontaminate.search(decontaminate.segments(df, window, segment_bytes=size), bench, window, within=within)
+        assert sorted((str(r.doc_id), r.near) for r in got.collect()) == near_by_brute_force(rows, items, window, within)
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Different texts under one id, and rows without one."""
+    leak = "one two three four five six seven eight nine"
+    rows = [(1, leak, 1), (1, "clean " + prose(30), 2), (None, leak + " ten", 3), (None, "also clean " + prose(20), 4), (2, None, 5), (1, "clean again", 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, k int").withColumn("t", F.lit(0))
+    kept = decontaminate.keep_unseen(df, spark.createDataFrame([(1, leak)], "item_id bigint, text string"))
+    assert sorted(r.k for r in kept.collect()) == [2, 4, 5, 6] and kept.columns == df.columns
+    copies = [(1, "a b c d e f", 1), (1, "g h i j k l", 2), (1, "a b c d e f", 3), (None, "A b c d e f", 4), (None, "m n o p", 5), (3, "g h i j k l", 6), (0, "x", 7), (None, None, 8), (9, "", 9)]
+    out = jaccard.keep_one(spark.createDataFrame(copies, "doc_id bigint, text string, k int")).collect()
+    assert sorted(r.k for r in out if r.k not in (1, 3)) == [2, 5, 7, 8, 9] and sum(r.k in (1, 3) for r in out) == 1
+    good = [(i, prose(60), "en", 0) for i in range(60)] + [(55, "".join(RND.choice("#$%@~ZQX ") for _ in range(300)), "en", 1), (None, "#$@!~" * 80, "en", 2), (None, prose(60), "en", 3)]
+    docs = spark.createDataFrame(good, "doc_id bigint, text string, lang string, k int")
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id bigint, quality int")
+    kept = Counter(r.k for r in quality.keep_good(docs, labels).collect())
+    assert kept[0] >= 58 and kept[1] == kept[2] == 0 and kept[3] == 1
 
 
 def test_decontaminate_empty(spark, docs, none):
@@ -283,6 +325,19 @@ def test_hamming_search_is_complete(spark):
     assert got == want and len(want) > 40
 
 
+def test_simhash_query_counts_neighbours(spark, tmp_path):
+    base = prose(400)
+    rows = [(i, prose(40)) for i in range(30)] + [(40, base), (41, base), (42, base + " more"), (60, base), (61, None), (80, ""), (100, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in simhash.op5(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    marks = {i: int(r.fingerprint, 16) for i, r in got.items()}
+    for i, r in got.items():
+        near = [d for j, m in marks.items() if j != i and (d := (m ^ marks[i]).bit_count()) <= simhash.RADIUS]
+        want = (len({marks[j] for j in marks if 0 < (marks[j] ^ marks[i]).bit_count() <= simhash.RADIUS}), len(near)) if i % simhash.EVERY == 0 else (None, None)
+        assert (r.n_near, r.n_alike) == want
+
+
 def test_simhash_empty_and_alone(spark, none):
     assert simhash.fingerprint(none).count() == 0
     r = simhash.fingerprint(spark.createDataFrame([(1, "abcd")], "doc_id bigint, text string")).collect()
@@ -328,6 +383,8 @@ def test_secret_linking():
     found = lambda t: [s[2] for s in secrets.all_spans(t, secrets.base_spans(t), 200)]
     assert found(near) == ["access", "key"] and found(far) == ["access"] and found(key) == []
     assert found(f"https://db.example/x {key}") == ["key"]
+    token = "Ab1" * 8
+    assert found(f"{access} {token}") == ["access", "token"] and found(f"https://db.example/x {token}") == found(token) == [] and found(f"{access} {'xy1' * 8}") == ["access"]
     weak = [(RND.randrange(900), 0) for _ in range(60)]
     weak, others = [(a, a + RND.randrange(1, 30)) for a, _ in weak], [(a := RND.randrange(900), a + RND.randrange(1, 30)) for _ in range(9)]
     for scope in (0, 5, 40):
