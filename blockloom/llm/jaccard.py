@@ -365,19 +365,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     reps = rows.where("rep is not null").groupBy("rep").agg(F.min(F.struct("t", "doc_id")).alias("d"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     named = stored(members.join(reps, "rep").select("g", "big", "rep", "n", "sketch"), "groups")
     large = named.where("big")
-    large = in_blocks(large.join(large.groupBy("g").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("nb")), "g"), "g")
+    large = in_blocks(large.join(stored(large.groupBy("g").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("nb")), "blocks"), "g"), "g")
     pairs = named.where("not big").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(large).drop("big")
     near = pairs.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lambda b: _near(b, num, den), "a bigint, b bigint")
     roots = components(near)
     member = stored(roots.select(F.col("u").alias("rep"), F.col("root").alias("c")).union(roots.select(F.col("root").alias("rep"), F.col("root").alias("c")).distinct()), "candidates")
     one = stored(reps.drop("sketch").join(member, "rep"), "chosen")
     count = F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count("*") / block_sets)).cast("int")
-    blocks = one.groupBy("c").agg(count.alias("nb"))
+    blocks = stored(one.groupBy("c").agg(count.alias("nb")), "blocks")  # stored, as below: a join with an aggregate can't be split by Spark where one component is very large
     # Linked sets are in one size class or in neighbouring ones; a window is a class and the next one. Small components are one window.
     size_class = F.floor(F.log("n") / math.log(1.001 * den / num))
     windows = F.when(F.col("nb") == 1, F.array(F.lit(-2).cast("bigint"))).otherwise(F.array(size_class - 1, size_class))
     spread = stored(one.join(blocks, "c").select("rep", "c", "n", "d", F.explode(windows).alias("w")), "windows")
-    wanted = spread.join(spread.groupBy("c", "w").agg(count.alias("nb")), ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb")).alias("ws"), F.first("d").alias("d"))
+    wanted = spread.join(stored(spread.groupBy("c", "w").agg(count.alias("nb")), "blocks"), ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb")).alias("ws"), F.first("d").alias("d"))
     wanted = wanted.select("rep", "ws", *row_key(F.col("d.doc_id"), F.col("d.t")))
     texts = docs.select("text", *row_key(F.col("doc_id"), F.col("t"))).join(wanted.hint("merge"), ["__id", "__no", "__t"]).select("rep", "ws", "text")
     sets = texts.mapInArrow(lambda b: _sets(b, width), "rep bigint, ws array<struct<c: bigint, nb: int>>, features binary").select("rep", "features", F.inline("ws"))
