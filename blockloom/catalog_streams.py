@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import functions as F
 
 from .catalog import BASIS, CAT, CODED, CODES, COEF, LUMA, PAIRS, PX, Q, REC, ROWS, SCAN, _cost, _qtab, _qz, _values, _with, block_costs, coded, pairs, query
@@ -9,7 +11,7 @@ from .catalog import V as VIEWS
 from .functions import kernels as K
 from .functions import tables as T
 from .plans import codec
-from .sources import views
+from .sources import formats, views
 
 WIDTH, ROWS_A_FRAME = 150, 10
 
@@ -161,9 +163,68 @@ def o86(spark, sf):
     return codec.decode(jpeg).select("frame", "width", "height", F.size("px").alias("n"), F.aggregate("px", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"))
 
 
+# ---- files: written by tasks into the shared folder and scanned again
+_WHOLE = f"whole AS (SELECT y // {ROWS_A_FRAME} AS frame FROM ras1 GROUP BY y // {ROWS_A_FRAME} HAVING count(DISTINCT y) = {ROWS_A_FRAME})"
+
+
+@query("o1_raw_scan", _with(VIEWS["ras1"], _WHOLE) + f"SELECT CAST(frame AS INTEGER) AS frame, CAST(count(*) AS INTEGER) AS n, CAST(sum(v * (x + 1)) AS BIGINT) AS total FROM whole JOIN ras1 ON y // {ROWS_A_FRAME} = frame GROUP BY frame")
+def o1(spark, sf):
+    folder = formats.shared_folder(spark, "raw")
+    formats.write_files(formats.write_raw(_frames(spark, sf)), folder, "yuv")
+    back = formats.read_raw(spark, folder, WIDTH, ROWS_A_FRAME, 400)
+    total = F.aggregate(F.transform(F.col("planes")[0], lambda v, i: (v * (i % WIDTH + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return back.select(F.regexp_extract("path", r"f_(\d+)", 1).cast("int").alias("frame"), F.size(F.col("planes")[0]).alias("n"), total.alias("total"))
+
+
+@query("o2_raw_sink", _with(VIEWS["ras1"], _WHOLE) + f"SELECT CAST(frame AS INTEGER) AS frame, CAST(count(*) AS INTEGER) AS n_bytes, md5(string_agg(printf('%02X', v), '' ORDER BY y, x)) AS md5 FROM whole JOIN ras1 ON y // {ROWS_A_FRAME} = frame GROUP BY frame")
+def o2(spark, sf):
+    return formats.write_raw(_frames(spark, sf)).select("frame", F.octet_length("data").alias("n_bytes"), F.md5(F.hex("data")).alias("md5"))
+
+
+@query("o3_seek", _with(VIEWS["ras1"], _WHOLE) + "SELECT CAST(frame AS INTEGER) AS frame FROM whole WHERE frame >= 3")
+def o3(spark, sf):
+    return formats.select_frames(_frames(spark, sf), 3).select("frame")
+
+
+_RGB = 100  # the raster's width
+_RGB_WHOLE = f"whole AS (SELECT y // {ROWS_A_FRAME} AS frame FROM rgb GROUP BY y // {ROWS_A_FRAME} HAVING count(*) = {ROWS_A_FRAME * _RGB})"
+_SUMS = _with(VIEWS["rgb"], _RGB_WHOLE) + f"SELECT CAST(frame AS INTEGER) AS frame, CAST(sum(r * (x + 1)) AS BIGINT) AS red, CAST(sum(g * (x + 1)) AS BIGINT) AS green, CAST(sum(b * (x + 1)) AS BIGINT) AS blue FROM whole JOIN rgb ON y // {ROWS_A_FRAME} = frame GROUP BY frame"
+
+
+def _pictures(spark, sf):
+    rows = views.rgb(spark, sf).withColumn("frame", F.floor(F.col("y") / ROWS_A_FRAME).cast("int"))
+    whole = rows.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p")).where(F.size("p") == ROWS_A_FRAME * _RGB)
+    return whole.select("frame", F.array("p.r", "p.g", "p.b").alias("planes"))
+
+
+def _round_trip(spark, sf, kind: str):
+    folder = formats.shared_folder(spark, kind)
+    formats.write_files(formats.encode_pictures(_pictures(spark, sf), kind, _RGB, ROWS_A_FRAME), folder, kind)
+    total = lambda c: F.aggregate(F.transform(F.col("planes")[c], lambda v, i: (v * (i % _RGB + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return formats.read_pictures(spark, folder, kind, _RGB, ROWS_A_FRAME).select("frame", *[total(i).alias(n) for i, n in enumerate(("red", "green", "blue"))])
+
+
+@query("o4_png", _SUMS)
+def o4(spark, sf):
+    return _round_trip(spark, sf, "png")
+
+
+@query("o5_bmp", _SUMS)
+def o5(spark, sf):
+    return _round_trip(spark, sf, "bmp")
+
+
+_BMP = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + 3 * _RGB * ROWS_A_FRAME, 0, 0, 54, 40, _RGB, ROWS_A_FRAME, 1, 24, 0, 3 * _RGB * ROWS_A_FRAME, 2835, 2835, 0, 0).hex().upper()
+
+
+@query("o5_bmp_sink", _with(VIEWS["rgb"], _RGB_WHOLE) + f"SELECT CAST(frame AS INTEGER) AS frame, md5('{_BMP}' || string_agg(printf('%02X%02X%02X', b, g, r), '' ORDER BY y DESC, x)) AS md5 FROM whole JOIN rgb ON y // {ROWS_A_FRAME} = frame GROUP BY frame")
+def o5_sink(spark, sf):
+    return formats.encode_pictures(_pictures(spark, sf), "bmp", _RGB, ROWS_A_FRAME).select("frame", F.md5(F.hex("data")).alias("md5"))
+
+
 # ---- segments of streams
 _RESTART = 7
-_SEGMENTS = _with(VIEWS["ras1"], f"whole AS (SELECT y // {ROWS_A_FRAME} AS frame FROM ras1 GROUP BY y // {ROWS_A_FRAME} HAVING count(DISTINCT y) = {ROWS_A_FRAME})", _values("seg", "i, marker, payload", [(i, m, p) for i, (m, p) in enumerate(_heads(Q, _RESTART))]))
+_SEGMENTS = _with(VIEWS["ras1"], _WHOLE, _values("seg", "i, marker, payload", [(i, m, p) for i, (m, p) in enumerate(_heads(Q, _RESTART))]))
 
 
 def _segments(spark, sf):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -75,19 +77,29 @@ def frame_shape(width: int, height: int, chroma: int, depth: int) -> tuple[list[
     return shapes, sum(a * b for a, b in shapes) * (1 if depth <= 8 else 2)
 
 
-def read_raw(spark: SparkSession, path: str, width: int, height: int, chroma: int = 420, depth: int = 8) -> DataFrame:
-    """path, frame, planes. Each file's frames; a trailing partial frame is left out."""
+def read_raw(spark: SparkSession, path: str, width: int, height: int, chroma: int = 420, depth: int = 8, range_bytes: int = 64 << 20) -> DataFrame:
+    """path, frame, planes. Each file's frames; a trailing partial frame is left out. Files are read in ranges of whole frames of about range_bytes, so a file may be larger than a task's memory."""
     shapes, size = frame_shape(width, height, chroma, depth)
+    ends = np.cumsum([a * b for a, b in shapes])
+    step = max(1, range_bytes // size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                for f in range(len(data) // size):
-                    flat = np.frombuffer(data, "<u2" if depth > 8 else np.uint8, size // (2 if depth > 8 else 1), f * size).astype(np.int32)
-                    ends = np.cumsum([a * b for a, b in shapes])
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f], pa.int32()), pa.array([[p for p in np.split(flat, ends[:-1])]], pa.list_(pa.list_(pa.int32())))], names=["path", "frame", "planes"])
+            for name, first, n in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "n"))):
+                store, inner = fs.FileSystem.from_uri(name)
+                with store.open_input_file(inner) as file:
+                    for f in range(first, first + n):
+                        file.seek(f * size)
+                        flat = np.frombuffer(file.read(size), "<u2" if depth > 8 else np.uint8).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f], pa.int32()), pa.array([np.split(flat, ends[:-1])], pa.list_(pa.list_(pa.int32())))], names=["path", "frame", "planes"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "path string, frame int, planes array<array<int>>")
+    # The content column is not selected, so only names and lengths are read here.
+    files = spark.read.format("binaryFile").load(path).select("path", F.floor(F.col("length") / size).cast("int").alias("frames"))
+    starts = files.where("frames > 0").select("path", "frames", F.explode(F.sequence(F.lit(0), F.col("frames") - 1, F.lit(step))).alias("first"))
+    ranges = starts.select("path", "first", F.least(F.lit(step), F.col("frames") - F.col("first")).alias("n"))
+    return ranges.repartition("path", "first").mapInArrow(cut, "path string, frame int, planes array<array<int>>")
 
 
 def write_raw(frames: DataFrame, depth: int = 8) -> DataFrame:
@@ -182,3 +194,41 @@ def read_pictures(spark: SparkSession, folder: str, kind: str, width: int, heigh
                 yield pa.RecordBatch.from_arrays([pa.array([frame], pa.int32()), pa.array([[rgb[:, :, c].reshape(-1).astype(np.int32) for c in range(3)]], pa.list_(pa.list_(pa.int32())))], names=["frame", "planes"])
 
     return files.join(whole, "frame").select("frame", "content").mapInArrow(run, "frame int, planes array<array<int>>")
+
+
+def encode_pictures(frames: DataFrame, kind: str, width: int, height: int) -> DataFrame:
+    """frames: frame, planes (red, green and blue samples of 8 bits). frame, data: a picture file's bytes."""
+    encode = {"png": png_encode, "bmp": bmp_encode}[kind]
+
+    @F.arrow_udf("binary")
+    def packed(planes: pa.Array) -> pa.Array:
+        return pa.array([encode(np.array(row, np.uint8).reshape(3, height, width).transpose(1, 2, 0)) for row in planes.to_pylist()], pa.binary())
+
+    return frames.select("frame", packed("planes").alias("data"))
+
+
+def write_files(rows: DataFrame, folder: str, suffix: str) -> int:
+    """rows: frame, data. Writes a file per frame, named by its number, from the tasks that have them; a repeated task writes the same bytes again. Returns the bytes written."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(folder)
+        store.create_dir(inner, recursive=True)
+        for batch in batches:
+            sizes = []
+            for frame, data in zip(batch.column("frame").to_pylist(), batch.column("data").to_pylist()):
+                with store.open_output_stream(f"{inner}/f_{frame}.{suffix}") as out:
+                    sizes.append(out.write(data))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n"])
+
+    return rows.select("frame", "data").mapInArrow(put, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, in spark.checkpoint.dir; a temporary one where that is unset (one machine)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="blockloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -35,8 +35,9 @@ def test_raw(spark, tmp_path, depth):
     S.write_stream(S.write_raw(df, depth), path)
     with open(path, "ab") as f:
         f.write(b"part")
-    back = S.read_raw(spark, path, 6, 4, 420, depth).orderBy("frame").collect()
-    assert [r.planes for r in back] == planes
+    for range_bytes in (1, 64 << 20):  # a range for each frame, and one for all
+        back = S.read_raw(spark, path, 6, 4, 420, depth, range_bytes).orderBy("frame").collect()
+        assert [r.planes for r in back] == planes
 
 
 @pytest.mark.parametrize("kind, encode, decode", [("bmp", S.bmp_encode, S.bmp_decode), ("png", S.png_encode, S.png_decode)])
