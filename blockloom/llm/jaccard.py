@@ -218,51 +218,57 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = nxt
 
 
-def near_pairs(groups: np.ndarray, n: np.ndarray, marks: list[bytes], num: int, den: int, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by group: the pairs of rows in a group that sizes and sketches allow to be linked."""
-    start = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-    size = np.diff(np.r_[start, len(groups)])
+def folded(marks: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width in bytes: each row's place in the matrix of all sketches of this width or more, and that matrix, wider ones folded."""
     width = np.array([len(m) for m in marks])
-    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for w in np.unique(width)[::-1].tolist():  # from the widest down, each width's matrix holds the wider ones folded to it
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for w in np.unique(width)[::-1].tolist():
         at = np.flatnonzero(width >= w)
-        m = np.zeros((len(groups), w), np.uint8)
-        if wider := folded.get(2 * w):
-            m[wider[0]] = wider[1][wider[0], :w] ^ wider[1][wider[0], w:]
-        else:
-            for r in at[width[at] > w]:
-                m[r] = np.bitwise_xor.reduce(np.frombuffer(marks[r], np.uint8).reshape(-1, w), axis=0)
-        for r in np.flatnonzero(width == w):
-            m[r] = np.frombuffer(marks[r], np.uint8)
-        folded[w] = (at, m)
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        out[w] = (np.cumsum(width >= w) - 1, np.stack([np.bitwise_xor.reduce(np.frombuffer(marks[r], np.uint8).reshape(-1, w), axis=0) for r in at]))
+    return out
+
+
+def near_pairs(groups: np.ndarray, n: np.ndarray, marks: list[bytes], num: int, den: int, step: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows sorted by group: the pairs of rows in a group that sizes and sketches allow to be linked, some at a time."""
+    start = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    size = np.diff(np.r_[start, len(groups)])
+    width, by_width = np.array([len(m) for m in marks]), folded(marks)
     for z in np.unique(size[size > 1]).tolist():
         i, j = np.triu_indices(z, 1)
-        heads = start[size == z]
-        for h in range(0, len(heads), max(1, step // len(i))):
-            a, b = ((heads[h : h + max(1, step // len(i)), None] + x).ravel() for x in (i, j))
+        heads, many = start[size == z], max(1, step // len(i))
+        for h in range(0, len(heads), many):
+            a, b = ((heads[h : h + many, None] + x).ravel() for x in (i, j))
             ok = np.minimum(n[a], n[b]) * den >= num * np.maximum(n[a], n[b])
             a, b = a[ok], b[ok]
-            most = (den - num) * (n[a] + n[b]) // (den + num)
             w = np.minimum(width[a], width[b])
             for own in np.unique(w).tolist():
-                m = folded[own][1]
-                pairs = np.flatnonzero(w == own)
-                for x in range(0, len(pairs), 1 << 24 // own.bit_length()):
-                    p = pairs[x : x + (1 << 24 // own.bit_length())]
-                    p = p[np.bitwise_count(m[a[p]] ^ m[b[p]]).sum(axis=1) <= most[p]]
-                    out.append((a[p], b[p]))
-    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+                place, m = by_width[own]
+                pairs, part = np.flatnonzero(w == own), max(1, (1 << 23) // own)
+                for x in range(0, len(pairs), part):
+                    p, q = a[pairs[x : x + part]], b[pairs[x : x + part]]
+                    keep = np.bitwise_count(m[place[p]] ^ m[place[q]]).sum(axis=1, dtype=np.int64) <= (den - num) * (n[p] + n[q]) // (den + num)
+                    yield p[keep], q[keep]
 
 
-def _near(batches: Iterator[pa.RecordBatch], num: int, den: int, limit: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+def _near(batches: Iterator[pa.RecordBatch], num: int, den: int, limit: int = 1 << 13) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (g, i, j): forests of the pairs that may be linked, over about `limit` rows at a time."""
     held: list[pa.RecordBatch] = []
 
     def done(rows: pa.Table, groups: np.ndarray) -> Iterator[pa.RecordBatch]:
         reps, node = np.unique(rows.column("rep").to_numpy(), return_inverse=True)
-        a, b = near_pairs(groups, rows.column("n").to_numpy(), rows.column("sketch").to_pylist(), num, den)
-        root = _labels(len(reps), node[a], node[b])
+        root, found = np.arange(len(reps)), [np.zeros((2, 0), np.int64)]
+
+        def tie() -> None:
+            nonlocal root, found
+            up = np.flatnonzero(root != np.arange(len(reps)))
+            a, b = np.concatenate([*found, [up, root[up]]], axis=1)
+            root, found = _labels(len(reps), a, b), found[:1]
+
+        for a, b in near_pairs(groups, rows.column("n").to_numpy(), rows.column("sketch").to_pylist(), num, den):
+            found.append(np.stack([node[a], node[b]]))
+            if sum(x.shape[1] for x in found) > 1 << 19:
+                tie()
+        tie()
         if (tied := root != np.arange(len(reps))).any():
             yield pa.RecordBatch.from_arrays([pa.array(reps[tied]), pa.array(reps[root[tied]])], names=["a", "b"])
 
@@ -302,8 +308,9 @@ def forest(reps: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int =
         m = np.zeros((len(sets), min(slice_, int(feature[-1]) + 1 - a)), np.float32)
         m[owner[i:j], feature[i:j] - a] = 1
         shared += m @ m.T
-    shared = shared.astype(np.int64)
-    link = den * shared >= num * (n[:, None] + n[None, :] - shared)
+    link = np.zeros(shared.shape, bool)
+    for a in range(0, len(sets), 256):  # shared * den >= union * num, without wide copies of the whole
+        link[a : a + 256] = (den + num) * shared[a : a + 256].astype(np.int64) >= num * (n[a : a + 256, None] + n[None, :])
     edges, left = [], np.ones(len(sets), bool)
     for i in np.argsort(reps, kind="stable"):
         if left[i]:
@@ -365,7 +372,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     reps = rows.where("rep is not null").groupBy("rep").agg(F.min(F.struct("t", "doc_id")).alias("d"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     named = stored(members.join(reps, "rep").select("g", "big", "rep", "n", "sketch"), "groups")
     large = named.where("big")
-    large = in_blocks(large.join(stored(large.groupBy("g").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("nb")), "blocks"), "g"), "g")
+    large = in_blocks(large.join(stored(large.groupBy("g").agg(F.ceil(2 * F.count("*") / block_sets).cast("int").alias("nb")), "blocks"), "g"), "g")
     pairs = named.where("not big").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(large).drop("big")
     near = pairs.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lambda b: _near(b, num, den), "a bigint, b bigint")
     roots = components(near)

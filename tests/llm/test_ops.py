@@ -458,6 +458,44 @@ def test_linked_sets_share_a_signature():
                 assert set(sigs[: n[0]].tolist()) & set(sigs[n[0] :].tolist())
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 60, 127, 129, 500, 3000):
+        sets = [rng.integers(0, 1 << 62, size, dtype=np.uint64) for _ in range(3)]
+        for base in list(sets):
+            for d in (0, 1, size // 30, size // 12):
+                sets.append(np.r_[base[d:], rng.integers(0, 1 << 62, d, dtype=np.uint64)])
+        n = np.array([len(s) for s in sets])
+        marks = jaccard.sketches(np.concatenate(sets), n).to_pylist()
+        got = {(int(a), int(b)) for x, y in jaccard.near_pairs(np.zeros(len(n), np.int64), n, marks, 80, 100, step=7) for a, b in zip(x, y)}
+        want = {(i, j) for j in range(len(n)) for i in range(j) if 100 * (k := len(set(sets[i]) & set(sets[j]))) >= 80 * (n[i] + n[j] - k)}
+        assert want <= got and (size < 60 or len(got) < len(n) * (len(n) - 1) / 2)
+
+
+def test_groups_go_on_in_later_batches():
+    """Groups cut by batches, larger than the limit, and single."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(k), int(r)) for k, r in zip(rng.integers(0, 40, 400) ** 2 % 37, rng.integers(0, 60, 400))})
+    rows += rows[:50]
+    rows.sort()
+    want: dict = {}
+    for k, r in rows:
+        want.setdefault(k, set()).add(r)
+    for cut in (1, 3, 50, 1000):
+        for most in (2, 8, 100):
+            batches = [pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows[a : a + cut]], pa.int64()) for i in (0, 1)] + [pa.nulls(len(rows[a : a + cut]), jaccard.DOC_TYPE)], names=["key", "rep", "doc"]) for a in range(0, len(rows), cut)]
+            got: dict = {}
+            for b in jaccard._groups(iter(batches), most):
+                for g, big, r in zip(*(b.column(c).to_pylist() for c in ("g", "big", "rep"))):
+                    got.setdefault((big, g), []).append(r)
+            big = {g: sorted(v) for (large, g), v in got.items() if large}
+            assert big == {k: sorted(v) for k, v in want.items() if len(v) > most}
+            small = {tuple(sorted(set(v))) for (large, _), v in got.items() if not large}
+            assert small == {tuple(sorted(v)) for v in want.values() if 1 < len(v) <= most}
+
+
 def test_jaccard_keeps_one(docs, none):
     rows = corpus()
     kept = jaccard.keep_one(docs).collect()
