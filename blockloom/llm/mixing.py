@@ -117,16 +117,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: f
     return w.withColumn("target", F.least(F.col("cap"), F.coalesce(free * F.col("w"), F.col("cap")))).drop("w", "cap", "budget", "ratio", "level")
 
 
-def plan(docs: DataFrame, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, shards: int = 64, block_words: int = 1 << 18, max_blocks: int = 1 << 20, seed: int = 42, whole: bool = False) -> DataFrame:
-    """The documents with source_size, target, taken (words the mix takes) and draws: an array of (epoch, shard, words). docs is read three times: store it first if its size is dear."""
-    total = docs.agg(F.coalesce(F.sum(size_col), F.lit(0)).alias("n")).first().n
+def plan(docs: DataFrame, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, shards: int = 64, block_words: int = 1 << 18, max_blocks: int = 1 << 20, seed: int = 42, whole: bool = False, sizes: DataFrame | None = None) -> DataFrame:
+    """The documents with source_size, target, taken (words the mix takes) and draws: an array of (epoch, shard, words). sizes: a stored table of the documents' id, source and size, from
+    which the plan is made; docs is read once more for the rows. Without it docs is read four times."""
+    base = docs if sizes is None else sizes
+    total = base.agg(F.coalesce(F.sum(size_col), F.lit(0)).alias("n")).first().n
     block_words = max(block_words, math.ceil(total / max_blocks))
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    rows = docs.withColumns({"__mix_s": key, "__mix_h": F.xxhash64(F.lit(seed), F.col(id_col))})
-    buckets = stored(rows.groupBy("__mix_s").agg(F.greatest(F.lit(1), F.ceil(F.sum(size_col) / block_words)).cast("bigint").alias("__mix_n")), "mix-buckets")
-    rows = rows.join(F.broadcast(buckets) if buckets.count() <= BROADCAST_SOURCES else buckets.hint("merge"), "__mix_s")
-    rows = rows.withColumn("__mix_b", F.pmod(F.xxhash64(F.lit(seed + 1), "__mix_h"), F.col("__mix_n"))).drop("__mix_n")
-    blocks = rows.groupBy("__mix_s", "__mix_b").agg(F.sum(size_col).alias("words"), F.first(source_col).alias("__mix_source"))
+    buckets = stored(base.groupBy(key.alias("__mix_s")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size_col) / block_words)).cast("bigint").alias("__mix_n")), "mix-buckets")
+    buckets = F.broadcast(buckets) if buckets.count() <= BROADCAST_SOURCES else buckets.hint("merge")
+
+    def in_blocks(df: DataFrame) -> DataFrame:
+        rows = df.withColumns({"__mix_s": key, "__mix_h": F.xxhash64(F.lit(seed), F.col(id_col))}).join(buckets, "__mix_s")
+        return rows.withColumn("__mix_b", F.pmod(F.xxhash64(F.lit(seed + 1), "__mix_h"), F.col("__mix_n"))).drop("__mix_n")
+
+    rows = in_blocks(docs)
+    blocks = in_blocks(base).groupBy("__mix_s", "__mix_b").agg(F.sum(size_col).alias("words"), F.first(source_col).alias("__mix_source"))
     sources = targets(blocks.groupBy("__mix_s", "__mix_source").agg(F.sum("words").alias("source_size"), F.count("*").alias("n")), weights, share, limit)
     sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
     sources = sources.withColumn("rest", F.floor(F.col("target")).cast("bigint") - F.col("passes") * F.col("source_size")).drop("__mix_source")
@@ -166,7 +172,8 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """A row per draw of a mix of the documents: their columns, epoch, shard, words and position. All draws take whole texts."""
-    return mix(plan(stored(sized(docs), "mix-sized"), whole=True)).drop("size", "taken")
+    docs = sized(docs)
+    return mix(plan(docs, whole=True, sizes=stored(docs.select("doc_id", "source", "size"), "mix-sizes"))).drop("size", "taken")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
