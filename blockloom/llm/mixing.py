@@ -35,72 +35,48 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _let(name: str, value: str, body: str) -> str:
+    """SQL text: body with a name for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _log_factorial(n: Column) -> Column:
-    """Stirling's series at n + 9, taken back by the product of the eight numbers above n."""
-    z = n.cast("double") + 9.0
-    product = n + 1.0
-    for i in range(2, 9):
-        product = product * (n + float(i))
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(product)
+def _log_factorial(n: str) -> str:
+    """SQL text: Stirling's series at n + 9, taken back by the product of the eight numbers above n."""
+    product = " * ".join(f"(x + {i})" for i in range(1, 9))
+    series = f"(x + 8.5D) * ln(x + 9) - (x + 9) + {0.5 * math.log(2 * math.pi)}D + 1 / (12 * (x + 9)) - 1 / (360 * pow(x + 9, 3)) + 1 / (1260 * pow(x + 9, 5))"
+    return _let("x", f"double({n})", f"{series} - ln({product})")
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+def _log_choose(n: str, k: str) -> str:
+    return f"({_log_factorial(n)} - {_log_factorial(k)} - {_log_factorial(f'{n} - {k}')})"
 
 
-def hypergeometric(u: Column, total: Column, marked: Column, drawn: Column) -> Column:
-    """Inverse of the hypergeometric distribution at u: marked ones among `drawn` of `total`. The values searched reach 12 deviations and 12 to either side of the mean; beyond is less than a double can show."""
-
-    def inner(a: Column) -> Column:
-        n, k, m, x = a["n"], a["k"], a["m"], a["u"]
-        share = k.cast("double") / F.greatest(n, F.lit(1))
-        mean = m * share
-        wide = 12 * F.sqrt(F.greatest(mean * (1 - share), F.lit(0.0))) + 12
-
-        def step(s: Column, i: Column) -> Column:
-            """Adds the probability of i; the next one's follows from it."""
-            c = s["c"] + s["p"]
-            ratio = (k - i).cast("double") * (m - i).cast("double") / ((i + 1).cast("double") * (n - k - m + i + 1).cast("double"))
-            return F.struct(c.alias("c"), (s["p"] * ratio).alias("p"), F.when(c <= x, i + 1).otherwise(s["r"]).alias("r"))
-
-        def search(b: Column) -> Column:
-            low, high = b["low"], b["high"]
-            first = F.exp(_log_choose(k, low) + _log_choose(n - k, m - low) - _log_choose(n, m))
-            return F.aggregate(F.sequence(low, high), F.struct(F.lit(0.0).alias("c"), first.alias("p"), low.alias("r")), step, lambda s: F.least(s["r"], high))
-
-        low = F.greatest(F.lit(0), m + k - n, F.floor(mean - wide)).cast("bigint")
-        return _let(F.struct(low.alias("low"), F.least(m, k, F.ceil(mean + wide)).cast("bigint").alias("high")), search)
-
-    return _let(F.struct(u.alias("u"), total.alias("n"), marked.alias("k"), drawn.alias("m")), inner)
-
-
-def _uniform(*of: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*of), 11) / F.lit(float(1 << 53))
+def hypergeometric(u: str, total: str, marked: str, drawn: str) -> str:
+    """SQL text: inverse of the hypergeometric distribution at u: marked ones among `drawn` of `total`. The values searched reach 12 deviations and 12 to either side of the mean; beyond is less than a
+    double can show. The first one's probability comes from factorials, each further one's from the one before."""
+    mean = "(double(a.m) * a.k / greatest(a.n, 1))"
+    wide = f"(12 * sqrt(greatest({mean} * (1 - double(a.k) / greatest(a.n, 1)), 0D)) + 12)"
+    span = f"named_struct('low', greatest(0L, a.m + a.k - a.n, bigint(floor({mean} - {wide}))), 'high', least(a.m, a.k, bigint(ceil({mean} + {wide}))))"
+    first = f"exp({_log_choose('a.k', 'b.low')} + {_log_choose('(a.n - a.k)', '(a.m - b.low)')} - {_log_choose('a.n', 'a.m')})"
+    ratio = "double(a.k - i) * double(a.m - i) / (double(i + 1) * double(a.n - a.k - a.m + i + 1))"
+    step = f"named_struct('c', s.c + s.p, 'p', s.p * {ratio}, 'r', if(s.c + s.p <= a.u, i + 1, s.r))"
+    search = f"aggregate(sequence(b.low, b.high), named_struct('c', 0D, 'p', {first}, 'r', b.low), (s, i) -> {step}, s -> least(s.r, b.high))"
+    return _let("a", f"named_struct('u', {u}, 'n', bigint({total}), 'k', bigint({marked}), 'm', bigint({drawn}))", _let("b", span, search))
 
 
 def split(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """quotas: one row, an array q of the sources' numbers of blocks. A row per shard: shard, q. Each level halves every node."""
-    add = lambda a, b: a + b
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), add)
-    nodes = quotas.select("q", F.lit(0).alias("low"), F.lit(shards).alias("high"))
+    """quotas: one row, an array q of the sources' numbers of blocks. A row per shard: shard, q. Each level halves every node. As SQL text, since a plan of so many expressions is slow to build one by one."""
+    total = lambda xs: f"aggregate({xs}, 0L, (x, y) -> x + y)"
+    uniform = f"shiftrightunsigned(xxhash64({seed}, low, high, j), 11) / {float(1 << 53):.1f}D"
+    draw = hypergeometric(uniform, f"all - {total('slice(q, 1, j - 1)')}", "element_at(q, j)", f"share - {total('done')}")
+    left = f"aggregate(slice(sequence(0, size(q)), 2, size(q)), cast(array() as array<bigint>), (done, j) -> array_append(done, {draw}))"
+    halves = _let("l", left, "array(named_struct('q', l, 'low', low, 'high', mid), named_struct('q', zip_with(q, l, (x, y) -> x - y), 'low', mid, 'high', high))")
+    nodes = quotas.selectExpr("q", "0 as low", f"{shards} as high")
     for _ in range(max(0, math.ceil(math.log2(shards)))):
-        mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        share = F.floor(total(F.col("q")) * (mid - F.col("low")) / F.greatest(F.lit(1), F.col("high") - F.col("low")) + F.lit(0.5)).cast("bigint")
-
-        def draw(done: Column, i: Column) -> Column:
-            rest_n, rest_m = F.col("all") - total(F.slice(F.col("q"), 1, i - 1)), F.col("share") - total(done)
-            return F.array_append(done, hypergeometric(_uniform(F.lit(seed), F.col("low"), F.col("high"), i), rest_n, F.element_at("q", i), rest_m))
-
-        nodes = nodes.withColumns({"share": share, "all": total(F.col("q")), "mid": mid})
-        left = F.when(F.col("high") - F.col("low") > 1, F.aggregate(F.slice(F.sequence(F.lit(0), F.size("q")), F.lit(2), F.size("q")), F.array().cast("array<bigint>"), draw)).otherwise(F.col("q"))
-        halves = _let(left, lambda l: F.array(F.struct(l.alias("q"), F.col("low"), F.when(F.col("high") - F.col("low") > 1, F.col("mid")).otherwise(F.col("high")).alias("high")), F.struct(F.zip_with("q", l, lambda a, b: a - b).alias("q"), F.col("mid").alias("low"), F.col("high"))))
-        nodes = nodes.select(F.explode(halves).alias("h")).select("h.q", "h.low", "h.high").where("low < high").where((F.col("high") - F.col("low") > 0))
-        nodes = nodes.dropDuplicates(["low", "high"]) if shards & (shards - 1) else nodes
-    return nodes.select(F.col("low").alias("shard"), "q")
+        nodes = nodes.selectExpr("q", "low", "high", "int(floor((low + high) / 2)) as mid", f"{total('q')} as all")
+        nodes = nodes.selectExpr("*", "bigint(floor(all * (mid - low) / greatest(1, high - low) + 0.5D)) as share")
+        nodes = nodes.selectExpr(f"explode(if(high - low > 1, {halves}, array(named_struct('q', q, 'low', low, 'high', high)))) as h").selectExpr("h.q", "h.low", "h.high")
+    return nodes.selectExpr("low as shard", "q")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, limit: float) -> DataFrame:
