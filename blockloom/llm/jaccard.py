@@ -39,8 +39,8 @@ K2, N2 = 1, 2
 SUBSETS = list(combinations(range(N2), N2 - K2))
 #: Spare parts, as a share of those needed.
 SPARE = 0.15
-#: Bytes of text that one task's signatures come from, about.
-TASK_BYTES = 6 << 20
+#: Bytes of text that one task's signatures come from, about; beyond so many tasks they grow with the corpus, and tasks sort on disk.
+TASK_BYTES, MAX_TASKS = 16 << 20, 100_000
 
 
 def bands(largest: int, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -364,7 +364,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_TASKS, -(-size // task_bytes)))
     dealt = signed(docs.select("doc_id", "t", "text"), width, num, den, spare).repartition(tasks, "key").sortWithinPartitions("key", "rep")
     grouped = stored(dealt.mapInArrow(lambda b: _groups(b, block_sets), f"g bigint, big boolean, rep bigint, {DOC}"), "signed")
     rows = grouped.where("doc is not null").select("doc.doc_id", "doc.t", "doc.n", "rep", "doc.sketch")
