@@ -290,11 +290,9 @@ def _near(batches: Iterator[pa.RecordBatch], num: int, den: int, limit: int = 1
         yield from done(rows, named(rows))
 
 
-def forest(reps: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int = DEN, slice_: int = 4096) -> list[tuple[int, int]]:
-    """Exact links among sets, as a spanning forest: (rep, its tree's root)."""
+def link_matrix(sets: list[np.ndarray], num: int = NUM, den: int = DEN, slice_: int = 4096) -> np.ndarray:
+    """Which of two sets or more are linked, exactly; a set is linked with itself."""
     n = np.array([len(s) for s in sets], np.int64)
-    if len(sets) < 2:
-        return []
     owner = np.repeat(np.arange(len(sets)), n)
     _, feature, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = uses[feature] > 1
@@ -311,6 +309,14 @@ def forest(reps: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int =
     link = np.zeros(shared.shape, bool)
     for a in range(0, len(sets), 256):  # shared * den >= union * num, without wide copies of the whole
         link[a : a + 256] = (den + num) * shared[a : a + 256].astype(np.int64) >= num * (n[a : a + 256, None] + n[None, :])
+    return link
+
+
+def forest(reps: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int = DEN, link: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Exact links among sets, as a spanning forest: (rep, its tree's root)."""
+    if len(sets) < 2:
+        return []
+    link = link_matrix(sets, num, den) if link is None else link
     edges, left = [], np.ones(len(sets), bool)
     for i in np.argsort(reps, kind="stable"):
         if left[i]:
@@ -325,22 +331,35 @@ def forest(reps: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int =
     return edges
 
 
-def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (c, i, j): a group's exact links."""
-    key, reps, sets = None, [], []
+def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int, counted: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (c, i, j): a group's exact links as a forest (a, b). counted: also rows (a, null, n): the documents of the sets that a is linked with, each pair in one of the tasks that it meets in."""
+    names = ["rep", "features", *(["m", "low", "k", "nb"] if counted else [])]
+    key, held = None, {}
 
     def done() -> Iterator[pa.RecordBatch]:
-        at = {r: s for r, s in zip(reps, sets)}
-        if edges := forest(np.array([*at], np.int64), [np.frombuffer(s, np.uint64) for s in at.values()], num, den):
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if len(held) < 2:
+            return
+        reps, sets = np.array([*held], np.int64), [np.frombuffer(r[0], np.uint64) for r in held.values()]
+        link = link_matrix(sets, num, den)
+        out = [(a, b, None) for a, b in forest(reps, sets, num, den, link)]
+        if counted and out:
+            m, low, k, nb = (np.array([r[x] for r in held.values()]) for x in (1, 2, 3, 4))
+            # A pair of one size class meets in two windows and counts in the one where the class is the lower; one of one block counts where the other block is the next.
+            inner = (nb == 1) | (np.where(k == key[1], key[2], key[1]) == (k + 1) % nb)
+            link &= low[:, None] | low[None, :]
+            link &= (k[:, None] != k[None, :]) | inner[:, None]
+            np.fill_diagonal(link, False)
+            total = [int(m[row].sum()) for row in link]
+            out += [(r, None, n) for r, n in zip(reps.tolist(), total) if n]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[x] for o in out], pa.int64()) for x in range(3 if counted else 2)], names=["a", "b", "n"][: 3 if counted else 2])
 
     for batch in batches:
-        for row_key, rep, own in zip(zip(*[batch.column(c).to_pylist() for c in "cij"]), batch.column("rep").to_pylist(), batch.column("features").to_pylist()):
+        for row_key, row in zip(zip(*[batch.column(c).to_pylist() for c in "cij"]), zip(*[batch.column(c).to_pylist() for c in names])):
             if row_key != key:
                 yield from done()
-                key, reps, sets = row_key, [], []
-            reps.append(rep)
-            sets.append(own)
+                key, held = row_key, {}
+            held[row[0]] = row[1:]
     yield from done()
 
 
@@ -349,18 +368,19 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         features, sizes = shingle_sets(utf8(chunk.column("text")), width)
         ends = np.cumsum(sizes)
         own = [features[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-        yield pa.RecordBatch.from_arrays([chunk.column("rep"), chunk.column("ws"), pa.array(own, pa.binary())], names=["rep", "ws", "features"])
+        yield pa.RecordBatch.from_arrays([*[chunk.column(c) for c in ("rep", "m", "ws")], pa.array(own, pa.binary())], names=["rep", "m", "ws", "features"])
 
 
 def in_blocks(rows: DataFrame, key: str, nb: str = "nb") -> DataFrame:
-    """Deals rows of a key in nb blocks to all pairs of them: adds i, j."""
+    """Deals rows of a key in nb blocks to all pairs of them: adds i, j and k, the row's own block."""
     block = F.pmod(F.xxhash64("rep"), F.col(nb)).cast("int")
     both = rows.withColumn("k", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col(nb) - 1))).where(f"o <> k or {nb} = 1")
-    return both.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")}).drop("k", "o", nb)
+    return both.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")}).drop("o")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, task_bytes: int = TASK_BYTES, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = SPARE) -> tuple[DataFrame, DataFrame]:
-    """Per document: doc_id, t (hash of its text), n (set size), rep (the set's hash, null without words), g (its component); and per component: g, least (smallest id), head (the first row's id and t, null ids last)."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, task_bytes: int = TASK_BYTES, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = SPARE, counted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per document: doc_id, t (hash of its text), n (set size), rep (the set's hash, null without words), g (its component); per component: g, least (smallest id), head (the first row's id and t, null ids last);
+    and per set: rep, m (its documents), first (their smallest id), with counted also linked (documents of other sets that it is linked with; null is none)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -369,51 +389,60 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     grouped = stored(dealt.mapInArrow(lambda b: _groups(b, block_sets), f"g bigint, big boolean, rep bigint, {DOC}"), "signed")
     rows = grouped.where("doc is not null").select("doc.doc_id", "doc.t", "doc.n", "rep", "doc.sketch")
     members = grouped.where("doc is null").select("g", "big", "rep").distinct()
-    reps = rows.where("rep is not null").groupBy("rep").agg(F.min(F.struct("t", "doc_id")).alias("d"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    reps = rows.where("rep is not null").groupBy("rep").agg(F.min(F.struct("t", "doc_id")).alias("d"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count("*").alias("m"), F.min("doc_id").alias("first"))
     named = stored(members.join(reps, "rep").select("g", "big", "rep", "n", "sketch"), "groups")
     large = named.where("big")
-    large = in_blocks(large.join(stored(large.groupBy("g").agg(F.ceil(2 * F.count("*") / block_sets).cast("int").alias("nb")), "blocks"), "g"), "g")
+    large = in_blocks(large.join(stored(large.groupBy("g").agg(F.ceil(2 * F.count("*") / block_sets).cast("int").alias("nb")), "blocks"), "g"), "g").drop("k", "nb")
     pairs = named.where("not big").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(large).drop("big")
     near = pairs.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lambda b: _near(b, num, den), "a bigint, b bigint")
     roots = components(near)
     member = stored(roots.select(F.col("u").alias("rep"), F.col("root").alias("c")).union(roots.select(F.col("root").alias("rep"), F.col("root").alias("c")).distinct()), "candidates")
-    one = stored(reps.drop("sketch").join(member, "rep"), "chosen")
+    one = stored(reps.drop("sketch", "first").join(member, "rep"), "chosen")
     count = F.greatest(F.ceil(F.sum("n") / block_features), F.ceil(F.count("*") / block_sets)).cast("int")
     blocks = stored(one.groupBy("c").agg(count.alias("nb")), "blocks")  # stored, as below: a join with an aggregate can't be split by Spark where one component is very large
     # Linked sets are in one size class or in neighbouring ones; a window is a class and the next one. Small components are one window.
     size_class = F.floor(F.log("n") / math.log(1.001 * den / num))
     windows = F.when(F.col("nb") == 1, F.array(F.lit(-2).cast("bigint"))).otherwise(F.array(size_class - 1, size_class))
-    spread = stored(one.join(blocks, "c").select("rep", "c", "n", "d", F.explode(windows).alias("w")), "windows")
-    wanted = spread.join(stored(spread.groupBy("c", "w").agg(count.alias("nb")), "blocks"), ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb")).alias("ws"), F.first("d").alias("d"))
-    wanted = wanted.select("rep", "ws", *row_key(F.col("d.doc_id"), F.col("d.t")))
-    texts = docs.select("text", *row_key(F.col("doc_id"), F.col("t"))).join(wanted.hint("merge"), ["__id", "__no", "__t"]).select("rep", "ws", "text")
-    sets = texts.mapInArrow(lambda b: _sets(b, width), "rep bigint, ws array<struct<c: bigint, nb: int>>, features binary").select("rep", "features", F.inline("ws"))
-    links = in_blocks(sets, "c").repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j").select("c", "i", "j", "rep", "features").mapInArrow(lambda b: _verify(b, num, den), "a bigint, b bigint")
-    tree = components(links)
+    spread = stored(one.join(blocks, "c").select("rep", "c", "n", "m", "d", F.explode(windows).alias("w"), size_class.alias("s")), "windows")
+    wanted = spread.join(stored(spread.groupBy("c", "w").agg(count.alias("nb")), "blocks"), ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb", ((F.col("w") == -2) | (F.col("w") == F.col("s"))).alias("low"))).alias("ws"), F.first("d").alias("d"), F.first("m").alias("m"))
+    wanted = wanted.select("rep", "m", "ws", *row_key(F.col("d.doc_id"), F.col("d.t")))
+    texts = docs.select("text", *row_key(F.col("doc_id"), F.col("t"))).join(wanted.hint("merge"), ["__id", "__no", "__t"]).select("rep", "m", "ws", "text")
+    sets = texts.mapInArrow(lambda b: _sets(b, width), "rep bigint, m bigint, ws array<struct<c: bigint, nb: int, low: boolean>>, features binary").select("rep", "m", "features", F.inline("ws"))
+    compared = in_blocks(sets, "c").select("c", "i", "j", "rep", "features", *(["m", "low", "k", "nb"] if counted else [])).repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    per_set = reps.select("rep", "m", "first")
+    if counted:
+        links = stored(compared.mapInArrow(lambda b: _verify(b, num, den, True), "a bigint, b bigint, n bigint"), "links")
+        tree = components(links.where("b is not null").select("a", "b"))
+        per_set = stored(per_set.join(links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked")), "rep", "left"), "sets")
+    else:
+        tree = components(compared.mapInArrow(lambda b: _verify(b, num, den), "a bigint, b bigint"))
     keyed = rows.select("doc_id", "t", "n", "rep").join(tree.withColumnRenamed("u", "rep"), "rep", "left").withColumn("g", F.coalesce("root", "rep")).drop("root")
     # Stored, so that the join with a component of very many documents can be split.
     least = stored(keyed.where("rep is not null").groupBy("g").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("head")), "least")
-    return keyed, least
+    return keyed, least, per_set
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class_id (the set's hash, null without words). Sets of shingles of `width` words link from a likeness of num / den; options are those of classes()."""
-    keyed, least = classes(docs, id_col, text_col, **options)
+    """Per document: doc_id, n_shingles, component_id, class_id (smallest id with an equal set; its own without words) and n_links (documents it is linked with, those of its own class too, itself not). Sets of
+    shingles of `width` words link from a likeness of num / den; options are those of classes()."""
+    keyed, least, per_set = classes(docs, id_col, text_col, counted=True, **options)
     keyed = keyed.withColumn("g", F.coalesce("g", F.xxhash64(F.lit("none"), "doc_id")))
-    return keyed.join(least, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("rep").alias("class_id"))
+    own = lambda c: F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col(c))
+    n_links = F.coalesce(F.col("m") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0))
+    return keyed.join(per_set, "rep", "left").join(least, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), own("least").alias("component_id"), own("first").alias("class_id"), n_links.alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents less all but the first of each component, by id (null ids last) and then by text. Of rows alike in id and text one stays; different texts under one id are
     judged each by itself. Rows without words link with nothing and stay."""
-    keyed, least = classes(docs, id_col, text_col, **options)
+    keyed, least, _ = classes(docs, id_col, text_col, **options)
     heads = least.select("head.doc_id", "head.t").union(keyed.where("rep is null").select("doc_id", "t"))
     return rows_by_key(docs, heads, id_col, text_col, once=True)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The op8 query: components of all documents."""
-    return join(table(spark, sf_dir, "documents")).drop("class_id")
+    """The op8 query: components, classes and numbers of links of all documents."""
+    return join(table(spark, sf_dir, "documents"))
 
 
 OP8_SQL = r"""
@@ -421,8 +450,10 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+l AS MATERIALIZED (SELECT a, b, shared = x.n AND shared = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links, min(b) FILTER (same) AS twin FROM l GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, least(d.doc_id, coalesce(twin, d.doc_id)) AS class_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id
 """

@@ -440,9 +440,24 @@ def chains():
 def test_jaccard(spark, block):
     rows = [(r[0], r[1]) for r in corpus()] + chains()
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1)).withColumn("t", F.lit(1))
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(df, block_sets=block).collect()), key=str)
+    out = jaccard.join(df, block_sets=block).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str)
     want = sorted(brute_components(rows), key=str)
     assert got == want and len({w[2] for w in want}) < len(want) - 20
+    assert sorted(map(str, ((r.doc_id, r.class_id, r.n_links) for r in out))) == sorted(map(str, brute_links(rows)))
+
+
+def brute_links(rows):
+    """doc_id, the smallest id with an equal set, and how many other rows link."""
+    sets = []
+    for r in rows:
+        w = words(r[1])
+        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} if w else set())
+    out = []
+    for i, (r, a) in enumerate(zip(rows, sets)):
+        equal = [q[0] for q, b in zip(rows, sets) if a and a == b and q[0] is not None]
+        out.append((r[0], min(equal, default=None) if a else r[0], sum(j != i and bool(a) and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets))))
+    return out
 
 
 def test_linked_sets_share_a_signature():
