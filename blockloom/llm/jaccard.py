@@ -378,9 +378,9 @@ def in_blocks(rows: DataFrame, key: str, nb: str = "nb") -> DataFrame:
     return both.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")}).drop("o")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, task_bytes: int = TASK_BYTES, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = SPARE, counted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per document: doc_id, t (hash of its text), n (set size), rep (the set's hash, null without words), g (its component); per component: g, least (smallest id), head (the first row's id and t, null ids last);
-    and per set: rep, m (its documents), first (their smallest id), with counted also linked (documents of other sets that it is linked with; null is none)."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, task_bytes: int = TASK_BYTES, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = SPARE, counted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Per document: doc_id, t (hash of its text), n (set size), rep (the set's hash, null without words), m (documents with this set), first (their smallest id), g (its component) and with counted
+    linked (documents of other sets that its set is linked with; null is none); and per component: g, least (smallest id), head (the first row's id and t, null ids last)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -413,29 +413,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     if counted:
         links = stored(compared.mapInArrow(lambda b: _verify(b, num, den, True), "a bigint, b bigint, n bigint"), "links")
         tree = components(links.where("b is not null").select("a", "b"))
-        per_set = stored(per_set.join(links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked")), "rep", "left"), "sets")
+        per_set = per_set.join(links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked")), "rep", "left")
     else:
         tree = components(compared.mapInArrow(lambda b: _verify(b, num, den), "a bigint, b bigint"))
-    keyed = rows.select("doc_id", "t", "n", "rep").join(tree.withColumnRenamed("u", "rep"), "rep", "left").withColumn("g", F.coalesce("root", "rep")).drop("root")
-    # Stored, so that the join with a component of very many documents can be split.
+    per_set = per_set.join(tree.withColumnRenamed("u", "rep"), "rep", "left").withColumn("g", F.coalesce("root", "rep")).drop("root")
+    # Stored tables join, so that Spark can split a set or a component of very many documents.
+    keyed = stored(rows.drop("sketch").join(stored(per_set, "sets"), "rep", "left"), "keyed")
     least = stored(keyed.where("rep is not null").groupBy("g").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t")).alias("head")), "least")
-    return keyed, least, per_set
+    return keyed, least
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, class_id (smallest id with an equal set; its own without words) and n_links (documents it is linked with, those of its own class too, itself not). Sets of
     shingles of `width` words link from a likeness of num / den; options are those of classes()."""
-    keyed, least, per_set = classes(docs, id_col, text_col, counted=True, **options)
+    keyed, least = classes(docs, id_col, text_col, counted=True, **options)
     keyed = keyed.withColumn("g", F.coalesce("g", F.xxhash64(F.lit("none"), "doc_id")))
     own = lambda c: F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col(c))
     n_links = F.coalesce(F.col("m") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0))
-    return keyed.join(per_set, "rep", "left").join(least, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), own("least").alias("component_id"), own("first").alias("class_id"), n_links.alias("n_links"))
+    return keyed.join(least, "g", "left").select("doc_id", F.col("n").alias("n_shingles"), own("least").alias("component_id"), own("first").alias("class_id"), n_links.alias("n_links"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents less all but the first of each component, by id (null ids last) and then by text. Of rows alike in id and text one stays; different texts under one id are
     judged each by itself. Rows without words link with nothing and stay."""
-    keyed, least, _ = classes(docs, id_col, text_col, **options)
+    keyed, least = classes(docs, id_col, text_col, **options)
     heads = least.select("head.doc_id", "head.t").union(keyed.where("rep is null").select("doc_id", "t"))
     return rows_by_key(docs, heads, id_col, text_col, once=True)
 
