@@ -4,9 +4,10 @@
 2. near_duplicates: of each component of the Jaccard join on 5-word shingles, linked from 0.8, one document stays.
 3. decontaminate: documents that have a window of a benchmark item go.
 4. secrets: found credentials are replaced by a mark, and n_chars is counted anew.
-5. mix: sources are mixed to their target weights; a row per draw.
+5. mix: sources are mixed to their target weights; a row per draw, of whole texts.
 
-Rows without a doc_id pass the filters. Null and empty texts go at the first stage. All but the last return the columns of documents.
+Filters judge each row by its own text, also rows without a doc_id and different texts under one. Null and empty texts go at the first stage.
+All but the last return the columns of documents.
 """
 
 from __future__ import annotations
