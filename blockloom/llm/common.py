@@ -30,11 +30,20 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: With this on, Spark removes a query's shuffle files when the query ends; else they stay until the driver happens to collect its garbage, which it may do too rarely for large inputs.
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: later steps survive lost executors and nothing is computed twice."""
-    path = workdir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it again: later steps survive lost executors and nothing is computed twice. The shuffle files that it took are removed."""
+    spark, path = df.sparkSession, workdir(df.sparkSession, name)
+    before = spark.conf.get(REMOVE_SHUFFLES)
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

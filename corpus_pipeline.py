@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from blockloom.llm import decontaminate, jaccard, mixing, quality, secrets
-from blockloom.llm.common import table, workdir
+from blockloom.llm.common import stored, table, workdir  # noqa: F401 - tests take workdir from here
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = workdir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

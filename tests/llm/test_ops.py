@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.llm import decontaminate, jaccard, language, mixing, ppm, quality, secrets, simhash, token_counts, warc
-from blockloom.llm.common import LOWER, workdir
+from blockloom.llm.common import LOWER, REMOVE_SHUFFLES, stored, workdir
 from blockloom.llm.graph import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, rep string, size string, draws int"
@@ -568,6 +569,22 @@ def test_linked_sets_share_a_signature_with_spare_parts():
                 assert set(sigs[: n[0]].tolist()) & set(sigs[n[0] :].tolist())
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
+    before, setting = shuffles(), spark.conf.get(REMOVE_SHUFFLES)
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    counts = rows.groupBy("k").count()
+    both = stored(rows.repartition(5, "id").join(counts.hint("merge"), "k"), "joined")
+    assert both.count() == 1000 and spark.conf.get(REMOVE_SHUFFLES) == setting
+    made = [f for f in shuffles() - before if disk.getFile(f).length() > 1000]
+    for _ in range(50):
+        if not (left := [f for f in made if disk.getFile(f).exists()]):
+            break
+        time.sleep(0.1)
+    assert not left
+
+
 def test_components(spark):
     edges = [(RND.randrange(300), RND.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
     got = {r.u: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
