@@ -11,7 +11,8 @@
    carries a sketch: the parity of its elements in buckets. Two sketches differ in at most as many buckets as the sets differ in elements, so a pair whose
    sketches differ in more than k can't be linked. The other pairs of a group give a spanning forest; a very large group is dealt in pairs of blocks.
 4. The components of these forests are compared exactly: in one task if small, else among neighbouring size classes in blocks, all pairs of blocks, each
-   task holding two. A task returns a spanning forest of its links.
+   task holding two. A task returns a spanning forest of its links. Pairs of blocks come in rounds, by the blocks' distance: a round copies sets to about
+   twice their size, and its shuffle goes before the next one, so all pairs take time that grows with the square of a component, but not disk.
 5. Components of the forests give the result. Nothing is capped, and no pairs are emitted.
 
 Cases: null and empty texts, or those without words, have an empty set and link with nothing. Fewer than 3 words are one shingle.
@@ -21,7 +22,8 @@ Repeated rows give a row each. Null ids are skipped when a component's id is cho
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -105,10 +107,10 @@ def signatures(features: np.ndarray, sizes: np.ndarray, num: int = NUM, den: int
 
 
 def sketches(features: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Per set a bit for each bucket: whether its number of elements there is odd. There are 64 buckets or more, a power of two, at least half the set's size up to 16384."""
+    """Per set a bit for each bucket: whether its number of elements there is odd. There are 64 buckets or more, a power of two, at least twice the set's size up to 65536. Fewer pass many pairs that aren't linked, which join into components that outgrow the corpus."""
     bits = np.full(len(sizes), 64, np.int64)
-    for _ in range(8):
-        bits[2 * bits < sizes] *= 2
+    for _ in range(10):
+        bits[bits < 2 * sizes] *= 2
     first = np.cumsum(bits) - bits
     bucket = (mix(features, 17) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
     odd = np.packbits((np.bincount(np.repeat(first, sizes) + bucket, minlength=int(bits.sum())) & 1).astype(np.uint8))
@@ -371,13 +373,37 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*[chunk.column(c) for c in ("rep", "m", "ws")], pa.array(own, pa.binary())], names=["rep", "m", "ws", "features"])
 
 
-def in_blocks(rows: DataFrame, key: str, nb: str = "nb") -> DataFrame:
-    """Deals rows of a key in nb blocks to all pairs of them: adds i, j and k, the row's own block."""
-    block = F.pmod(F.xxhash64("rep"), F.col(nb)).cast("int")
-    both = rows.withColumn("k", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col(nb) - 1))).where(f"o <> k or {nb} = 1")
+def rounds(sized: DataFrame, weight: str) -> list[tuple[int, int]]:
+    """Ranges of distances between blocks (0 within a single one), for rows in nb blocks: dealing one range copies rows to twice their whole weight at most."""
+    nb, w = (np.array(x, np.float64) for x in zip(*sized.groupBy("nb").agg(F.sum(weight).alias("w")).select("nb", "w").collect() or [(1, 0)]))
+    out, first, held, last = [], 0, 0.0, int(nb.max()) // 2
+    for d in range(last + 1):
+        copies = float((w * (nb == 1 if d == 0 else (2.0 * d <= nb) * 1 + (2.0 * d < nb))).sum())
+        if held and held + copies > 2 * w.sum():
+            out, first, held = [*out, (first, d - 1)], d, 0.0
+        held += copies
+    return [*out, (first, last)]
+
+
+def in_blocks(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """Deals rows of a key in nb blocks to pairs of blocks that are `first` to `last` apart, around the circle of blocks: adds i, j and k, the row's own block."""
+    k, nb, near = F.col("k"), F.col("nb"), max(first, 1)
+    apart = F.sequence(F.lit(near), F.least(F.lit(last), F.floor(nb / 2).cast("int")))
+    others = F.array_distinct(F.flatten(F.transform(apart, lambda d: F.array(F.pmod(k + d, nb), F.pmod(k - d + nb, nb)))))
+    others = F.when((nb > 1) & (nb >= 2 * near) & F.lit(last >= near), others).when((nb == 1) & F.lit(first == 0), F.array(F.lit(0)))
+    both = rows.withColumn("k", F.pmod(F.xxhash64("rep"), nb).cast("int")).withColumn("o", F.explode(others))
     return both.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")}).drop("o")
 
 
+def in_rounds(rows: DataFrame, ranges: list[tuple[int, int]], key: str, columns: list[str], tasks: int, work: Callable, schema: str, name: str) -> DataFrame:
+    """What `work` finds in all pairs of blocks, sorted by key and pair; a stored table for each round."""
+    found = []
+    for first, last in ranges:
+        dealt = in_blocks(rows, first, last).select(key, "i", "j", *columns).repartition(tasks, key, "i", "j").sortWithinPartitions(key, "i", "j")
+        found.append(stored(dealt.mapInArrow(work, schema), name))
+    return reduce(DataFrame.union, found)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 1024, block_features: int = 1 << 20, task_bytes: int = TASK_BYTES, width: int = WIDTH, num: int = NUM, den: int = DEN, spare: float = SPARE, counted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per document: doc_id, t (hash of its text), n (set size), rep (the set's hash, null without words), m (documents with this set), first (their smallest id), g (its component) and with counted
     linked (documents of other sets that its set is linked with; null is none); and per component: g, least (smallest id), head (the first row's id and t, null ids last)."""
@@ -392,9 +418,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     reps = rows.where("rep is not null").groupBy("rep").agg(F.min(F.struct("t", "doc_id")).alias("d"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count("*").alias("m"), F.min("doc_id").alias("first"))
     named = stored(members.join(reps, "rep").select("g", "big", "rep", "n", "sketch"), "groups")
     large = named.where("big")
-    large = in_blocks(large.join(stored(large.groupBy("g").agg(F.ceil(2 * F.count("*") / block_sets).cast("int").alias("nb")), "blocks"), "g"), "g").drop("k", "nb")
-    pairs = named.where("not big").withColumns({"i": F.lit(0), "j": F.lit(0)}).unionByName(large).drop("big")
-    near = pairs.repartition(tasks, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lambda b: _near(b, num, den), "a bigint, b bigint")
+    blocks = stored(large.groupBy("g").agg(F.ceil(2 * F.count("*") / block_sets).cast("int").alias("nb")), "blocks")
+    pairs = named.where("not big").withColumn("nb", F.lit(1)).unionByName(large.join(blocks, "g")).withColumn("bytes", F.length("sketch") + 32)
+    near = in_rounds(pairs, rounds(pairs, "bytes"), "g", ["rep", "n", "sketch"], tasks, lambda b: _near(b, num, den), "a bigint, b bigint", "near")
     roots = components(near)
     member = stored(roots.select(F.col("u").alias("rep"), F.col("root").alias("c")).union(roots.select(F.col("root").alias("rep"), F.col("root").alias("c")).distinct()), "candidates")
     one = stored(reps.drop("sketch", "first").join(member, "rep"), "chosen")
@@ -404,18 +430,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blo
     size_class = F.floor(F.log("n") / math.log(1.001 * den / num))
     windows = F.when(F.col("nb") == 1, F.array(F.lit(-2).cast("bigint"))).otherwise(F.array(size_class - 1, size_class))
     spread = stored(one.join(blocks, "c").select("rep", "c", "n", "m", "d", F.explode(windows).alias("w"), size_class.alias("s")), "windows")
-    wanted = spread.join(stored(spread.groupBy("c", "w").agg(count.alias("nb")), "blocks"), ["c", "w"]).groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb", ((F.col("w") == -2) | (F.col("w") == F.col("s"))).alias("low"))).alias("ws"), F.first("d").alias("d"), F.first("m").alias("m"))
+    spread = spread.join(stored(spread.groupBy("c", "w").agg(count.alias("nb")), "blocks"), ["c", "w"])
+    wanted = spread.groupBy("rep").agg(F.collect_list(F.struct(F.xxhash64("c", "w").alias("c"), "nb", ((F.col("w") == -2) | (F.col("w") == F.col("s"))).alias("low"))).alias("ws"), F.first("d").alias("d"), F.first("m").alias("m"))
     wanted = wanted.select("rep", "m", "ws", *row_key(F.col("d.doc_id"), F.col("d.t")))
     texts = docs.select("text", *row_key(F.col("doc_id"), F.col("t"))).join(wanted.hint("merge"), ["__id", "__no", "__t"]).select("rep", "m", "ws", "text")
-    sets = texts.mapInArrow(lambda b: _sets(b, width), "rep bigint, m bigint, ws array<struct<c: bigint, nb: int, low: boolean>>, features binary").select("rep", "m", "features", F.inline("ws"))
-    compared = in_blocks(sets, "c").select("c", "i", "j", "rep", "features", *(["m", "low", "k", "nb"] if counted else [])).repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    sets = stored(texts.mapInArrow(lambda b: _sets(b, width), "rep bigint, m bigint, ws array<struct<c: bigint, nb: int, low: boolean>>, features binary"), "features").select("rep", "m", "features", F.inline("ws"))
+    compared = lambda columns, work, schema: in_rounds(sets, rounds(spread, "n"), "c", ["rep", "features", *columns], tasks, work, schema, "links")
     per_set = reps.select("rep", "m", "first")
     if counted:
-        links = stored(compared.mapInArrow(lambda b: _verify(b, num, den, True), "a bigint, b bigint, n bigint"), "links")
+        links = compared(["m", "low", "k", "nb"], lambda b: _verify(b, num, den, True), "a bigint, b bigint, n bigint")
         tree = components(links.where("b is not null").select("a", "b"))
         per_set = per_set.join(links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked")), "rep", "left")
     else:
-        tree = components(compared.mapInArrow(lambda b: _verify(b, num, den), "a bigint, b bigint"))
+        tree = components(compared([], lambda b: _verify(b, num, den), "a bigint, b bigint"))
     per_set = per_set.join(tree.withColumnRenamed("u", "rep"), "rep", "left").withColumn("g", F.coalesce("root", "rep")).drop("root")
     # Stored tables join, so that Spark can split a set or a component of very many documents.
     keyed = stored(rows.drop("sketch").join(stored(per_set, "sets"), "rep", "left"), "keyed")

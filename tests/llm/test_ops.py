@@ -488,6 +488,16 @@ def test_sketches_never_rule_out_a_link():
         assert want <= got and (size < 60 or len(got) < len(n) * (len(n) - 1) / 2)
 
 
+def test_sketches_rule_out_sets_of_other_texts():
+    rng = np.random.default_rng(6)
+    for size in (130, 200, 250, 320, 9000):
+        shared = rng.integers(0, 1 << 62, size // 2, dtype=np.uint64)
+        sets = [np.r_[shared, rng.integers(0, 1 << 62, size - len(shared), dtype=np.uint64)] for _ in range(40)]
+        n = np.array([len(s) for s in sets])
+        marks = jaccard.sketches(np.concatenate(sets), n).to_pylist()
+        assert not sum(len(a) for a, _ in jaccard.near_pairs(np.zeros(len(n), np.int64), n, marks, 80, 100)), size
+
+
 def test_groups_go_on_in_later_batches():
     """Groups cut by batches, larger than the limit, and single."""
     import pyarrow as pa
@@ -569,6 +579,19 @@ def test_linked_sets_share_a_signature_with_spare_parts():
                 assert set(sigs[: n[0]].tolist()) & set(sigs[n[0] :].tolist())
 
 
+def test_rounds_deal_each_pair_of_blocks_once_with_few_copies(spark):
+    nb = F.when(F.col("rep") < 300, 1).when(F.col("rep") < 350, 2).when(F.col("rep") < 500, 5).otherwise(20)
+    rows = spark.range(1000).select(F.col("id").alias("rep"), nb.alias("nb"), F.lit(1).alias("n")).withColumn("g", F.col("nb"))
+    ranges = jaccard.rounds(rows, "n")
+    dealt = [jaccard.in_blocks(rows, a, b).collect() for a, b in ranges]
+    assert len(ranges) > 3 and all(len(d) <= 2000 for d in dealt)
+    pairs = [{(r.g, r.i, r.j) for r in d} for d in dealt]
+    assert sum(map(len, pairs)) == len(set.union(*pairs)) == 1 + 1 + 10 + 190
+    copies = Counter(r.rep for d in dealt for r in d)
+    assert all(copies[r.rep] == max(1, r.nb - 1) for r in rows.collect()) and all(r.k in (r.i, r.j) for d in dealt for r in d)
+    assert jaccard.rounds(rows.limit(0), "n") == [(0, 0)]
+
+
 def test_stored_tables_leave_no_shuffle_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     shuffles = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().mkString(" ")))
