@@ -669,6 +669,23 @@ def test_quality(spark, docs, none):
     assert quality.classify(none, labels).count() == 0 and quality.classify(docs, labels.limit(0)).where("keep").count() > 40
 
 
+def test_quality_learns_from_all_trusted_texts(spark, monkeypatch):
+    rows = [(i, prose(30 + i % 9), ["en", "de", None][i % 3]) for i in range(90)] + [(200, "", "en"), (201, None, "de"), (None, "other", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(70)] + [(200, 1, 0)], "doc_id bigint, quality int, toxic int")
+    learned, real = [], quality.kneser_ney
+    monkeypatch.setattr(quality, "kneser_ney", lambda grams, order: learned.append(grams.agg(F.sum("c")).first()[0]) or real(grams, order))
+    whole = {r.doc_id: r for r in quality.classify(df, labels).collect()}
+    assert learned[0] == sum(len(t.encode()) + 1 for i, t, _ in rows if i in {*range(70), 200}) == sum(learned[1:]) and min(learned) > 0
+    dealt = {r.doc_id: r for r in quality.classify(df, labels, max_grams=300).collect()}
+    assert len(whole) == len(dealt) == len(rows)
+    for i, r in whole.items():
+        assert r.keep == dealt[i].keep and r.n_bytes == dealt[i].n_bytes
+        assert (r.perplexity is None) == (dealt[i].perplexity is None) == (i in (200, 201))
+        for c in ("perplexity", "least", "most"):
+            assert r[c] is None or abs(r[c] - dealt[i][c]) < 1e-9 * r[c]
+
+
 # ---- language
 def test_language(spark, none):
     letters = {"aa": "abcde", "bb": "fghij", "cc": "éüñkl"}
