@@ -100,11 +100,25 @@ def margin_index(i: Column, size: int, mode: str) -> Column:
     return F.when(i < 0, -i - edge).when(i >= size, 2 * size - 2 + edge - i).otherwise(i)
 
 
+def _places(i: Column, size: int, margin: int, mode: str) -> Column:
+    """The positions whose margin_index() is i: itself and its images beyond either edge. Work a sample depends on the margin, not on the size."""
+    if mode == "Nearest":
+        before = F.when(i == 0, F.sequence(F.lit(-margin), F.lit(-1)))
+        after = F.when(i == size - 1, F.sequence(F.lit(size), F.lit(size + margin - 1)))
+    else:
+        edge = 1 if mode == "Reflect" else 0
+        low, high = -i - edge, 2 * size - 2 + edge - i
+        before = F.when(low.between(-margin, -1), F.array(low))
+        after = F.when(high.between(size, size + margin - 1), F.array(high.cast("int")))
+    none = F.array().cast("array<int>")
+    own = F.when(i.between(0, size - 1), F.array(i))
+    return F.concat(*[F.coalesce(part, none) for part in ((before, own, after) if margin > 0 else (own,))])
+
+
 def extend(df: DataFrame, width: int, height: int, margin: int, mode: str, value: int = 0) -> DataFrame:
     """Each sample is copied to the places that take it; Constant and Zero have a value there. Needs margin < size."""
-    spread = lambda c, n: F.filter(F.sequence(F.lit(-margin), F.lit(n + margin - 1)), lambda i: margin_index(i, n, mode if mode not in ("Constant", "Zero") else "Nearest") == F.col(c))
-    # Only positions near an edge differ, so a row's candidates are few: itself and its images.
-    out = df.select(F.explode(spread("y", height)).alias("y"), "x", "v").select("y", F.explode(spread("x", width)).alias("x"), "v")
+    taken = mode if mode not in ("Constant", "Zero") else "Nearest"
+    out = df.select(F.explode(_places(F.col("y"), height, margin, taken)).alias("y"), "x", "v").select("y", F.explode(_places(F.col("x"), width, margin, taken)).alias("x"), "v")
     if mode in ("Constant", "Zero"):
         inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
         out = out.withColumn("v", F.when(inside, F.col("v")).otherwise(F.lit(value if mode == "Constant" else 0)))
