@@ -59,8 +59,12 @@ def _within(v: Column, depth: int, limited: bool) -> Column:
     return F.least(F.greatest(v, F.lit(step if limited else 0)), F.lit(most - step if limited else most))
 
 
-def _dot(row: list[float], parts: list[Column]) -> Column:
-    return _float(row[0]) * parts[0] + _float(row[1]) * parts[1] + _float(row[2]) * parts[2]
+def _dot(row: list[float], parts: list[Column], scales: list[Column] | None = None) -> Column:
+    """Products are of the factor and the part, then of the scale, as in the SQL twins: another order rounds a few colours otherwise."""
+    terms = [_float(m) * p for m, p in zip(row, parts)]
+    if scales:
+        terms = [t * s for t, s in zip(terms, scales)]
+    return terms[0] + terms[1] + terms[2]
 
 
 def rgb_to_ycc_float(r: Column, g: Column, b: Column, space: str = "BT601", depth: int = 8, limited: tuple[bool, bool] | None = None) -> list[Column]:
@@ -71,11 +75,11 @@ def rgb_to_ycc_float(r: Column, g: Column, b: Column, space: str = "BT601", dept
         sums = [_rounded(_dot(m, [c.cast("float") for c in parts])) for m in rows]
         return [_within(s + (mid if i else 0), depth, False) for i, s in enumerate(sums)]
     low, n = _span(depth, limited[1])
-    parts = [(c.cast("int") - low).cast("float") * (_float(most) / _float(n)).cast("float") for c in parts]
+    parts, scales = [(c.cast("int") - low).cast("float") for c in parts], [(_float(most) / _float(n)).cast("float")] * 3
     out = []
     for i, m in enumerate(rows):
         low, n = _span(depth, limited[0], i > 0)
-        scaled = _rounded(_dot(m, parts) * (_float(n) / _float(most)).cast("float"))
+        scaled = _rounded(_dot(m, parts, scales) * (_float(n) / _float(most)).cast("float"))
         out.append(_within(scaled + (low + (mid if i else 0)), depth, limited[0]))
     return out
 
@@ -87,9 +91,9 @@ def ycc_to_rgb_float(y: Column, u: Column, v: Column, space: str = "BT601", dept
     if limited is None:
         return [_within(_rounded(_dot(m, [c.cast("float") for c in parts])), depth, False) for m in rows]
     spans = [_span(depth, limited[0], i > 0) for i in range(3)]
-    parts = [(c - low).cast("float") * (_float(most) / _float(n)).cast("float") for c, (low, n) in zip(parts, spans)]
+    parts, scales = [(c - low).cast("float") for c, (low, _) in zip(parts, spans)], [(_float(most) / _float(n)).cast("float") for _, n in spans]
     low, n = _span(depth, limited[1])
-    return [_within(_rounded(_dot(m, parts) * (_float(n) / _float(most)).cast("float")) + low, depth, limited[1]) for m in rows]
+    return [_within(_rounded(_dot(m, parts, scales) * (_float(n) / _float(most)).cast("float")) + low, depth, limited[1]) for m in rows]
 
 
 def margin_index(i: Column, size: int, mode: str) -> Column:

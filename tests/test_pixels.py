@@ -1,8 +1,10 @@
 """Pixel operators beside their plain definitions."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from blockloom import catalog
 from blockloom.operators import pixels as P
 
 
@@ -26,3 +28,19 @@ def test_margins_of_a_raster_of_any_height(spark, mode, last):
     df = spark.createDataFrame([(0, 0, 7), (height // 2, 0, 8), (height - 1, 0, 9)], "y int, x int, v int")
     rows = P.extend(df, 1, height, 4, mode).where("x = 0").collect()
     assert sum(r.v == 8 for r in rows) == 1 and sum(r.v == 7 for r in rows) == sum(r.v == 9 for r in rows) == last
+
+
+@pytest.mark.parametrize("limited", [True, False])
+def test_float_colours_round_as_their_sql(spark, limited):
+    """The first colours fell on the other side of a half when scaled before the factors."""
+    colours = [(2, 248, 9), (14, 20, 141), (17, 19, 26), (17, 63, 24), (18, 252, 171), (21, 141, 61), (0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 0, 255)]
+    rows = [(0, x, *c) for x, c in enumerate(colours)]
+    spans = (True, False) if limited else None
+    df = spark.createDataFrame(rows, "y int, x int, r int, g int, b int")
+    ycc = df.select("y", "x", *[c.alias(n) for c, n in zip(P.rgb_to_ycc_float(F.col("r"), F.col("g"), F.col("b"), limited=spans), ("yy", "cb", "cr"))])
+    back = ycc.select("y", "x", *[c.alias(n) for c, n in zip(P.ycc_to_rgb_float(F.col("yy"), F.col("cb"), F.col("cr"), limited=spans), "rgb")])
+    db = duckdb.connect()
+    db.execute("CREATE TABLE rgb (y INTEGER, x INTEGER, r INTEGER, g INTEGER, b INTEGER)")
+    db.executemany("INSERT INTO rgb VALUES (?, ?, ?, ?, ?)", rows)
+    for ours, sql in ((ycc, catalog._float_ycc_sql(limited)), (back, catalog._float_rgb_sql(limited))):
+        assert sorted(map(tuple, ours.collect())) == sorted(db.execute(sql).fetchall())
