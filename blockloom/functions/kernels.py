@@ -103,47 +103,153 @@ def category(v: np.ndarray) -> np.ndarray:
     return np.where(v == 0, 0, np.floor(np.log2(np.maximum(np.abs(v), 1))).astype(np.int64) + 1)
 
 
-def ac_bits(zz: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Bits of all AC symbols of each block; a symbol without a code counts 16."""
-    k = np.arange(64)
+def _run_costs(lengths: np.ndarray) -> np.ndarray:
+    """Bits of a level of each category (16) after each run of zeros (64), with its 16-zero symbols: a row of 1,024 per table of lengths."""
+    run, n = np.arange(64)[:, None], np.arange(16)
+    return (lengths[:, (run % 16) * 16 + n] + n + (run // 16) * lengths[:, 0xF0, None, None]).reshape(len(lengths), -1)
+
+
+def ac_bits(zz: np.ndarray, lengths: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Bits of all AC symbols of each block; a symbol without a code counts 16. lengths: 256 a table; table: each block's row of them, if there are many."""
+    lengths = lengths.reshape(-1, 256)
+    row = np.zeros(len(zz), np.int64) if table is None else table
     on = zz != 0
     on[:, 0] = False
-    at = np.where(on, k, 0)
+    at = np.where(on, np.arange(64), 0)
+    last = at.max(axis=1, initial=0)
     before = np.maximum.accumulate(np.c_[np.zeros((len(zz), 1), np.int64), at[:, :-1]], axis=1)
-    run, n = k - before - 1, category(zz)
-    cost = np.where(on, lengths[np.where(on, (run % 16) * 16 + n, 0)] + n + (run // 16) * lengths[0xF0], 0).sum(axis=1)
-    return cost + np.where(at.max(axis=1) < 63, lengths[0], 0)
+    block, k = np.nonzero(on)
+    each = _run_costs(lengths).reshape(-1)[row[block] * 1024 + (k - before[block, k] - 1) * 16 + category(zz[block, k])]
+    cost = np.zeros(len(zz), np.int64)
+    np.add.at(cost, block, each)
+    return cost + np.where(last < 63, lengths[row, 0], 0)
 
 
 def coefficient_ssd(zz: np.ndarray, coeff: np.ndarray, q: np.ndarray) -> np.ndarray:
     return ((((dequantise(zz, q) << 4) - coeff) ** 2).sum(axis=1) + 128) >> 8
 
 
-def rdoq(zz: np.ndarray, coeff: np.ndarray, px: np.ndarray | None, q: np.ndarray, lam: np.ndarray, lengths: np.ndarray, zeros: bool = False, passes: int = 1) -> np.ndarray:
-    """Rate-distortion optimised levels: from the last non-zero to the first AC one, each tries 0, +1 and -1 and takes what costs strictly less. px: exact distortion, else that of coefficients."""
+def rdoq(zz: np.ndarray, coeff: np.ndarray, px: np.ndarray | None, q: np.ndarray, lam: np.ndarray, lengths: np.ndarray, zeros: bool = False, passes: int = 1, table: np.ndarray | None = None) -> np.ndarray:
+    """Rate-distortion optimised levels: from the last non-zero to the first AC one, each tries 0, +1 and -1 and takes what costs strictly less. px: exact distortion, else that of coefficients. lengths, table: as in ac_bits()."""
+    lengths, out = lengths.reshape(-1, 256), zz.copy()
+    row = np.zeros(len(zz), np.int64) if table is None else table
+    for at in range(0, len(zz), 1024):  # what is kept of these blocks stays in a core's cache
+        s = slice(at, at + 1024)
+        out[s] = _rdoq(zz[s], coeff[s], None if px is None else px[s], np.asarray(q, np.int64), lam[s], lengths, zeros, passes, row[s])
+    return out
 
-    def cost(now: np.ndarray, own: np.ndarray) -> np.ndarray:
-        dist = ((inverse_dct(dequantise(now, q)) - px[own]) ** 2).sum(axis=1) if px is not None else coefficient_ssd(now, coeff[own], q)
-        return dist + lam[own] * ac_bits(now, lengths)
 
-    out = zz.copy()
-    last = np.where(zz[:, 1:] != 0, np.arange(1, 64), 0).max(axis=1)
-    every = np.arange(len(zz))
-    best = cost(out, every)
+class _Samples:
+    """Exact distortion: both sums of the inverse transform before their shifts, blocks last. A changed coefficient adds a multiple of one basis row to one column of the first and what follows from it to the second, so trials have the same integers as inverse_dct()."""
+
+    def __init__(self, zz: np.ndarray, px: np.ndarray, q: np.ndarray, room: int):
+        c = dequantise(zz, q)
+        c[:, 0] += 1024
+        # 32 bits if no sum can pass them, whatever levels are tried
+        most = (np.abs(c).sum(axis=1).max(initial=0) + room * int(q.sum())) * 22725 // 8192 * 22725 + 64 * 22725
+        kind = np.int32 if most < 2**30 and np.abs(px).max(initial=0) < 8192 else np.int64
+        first = BASIS.T @ c.reshape(-1, 8, 8) + (1 << 12)
+        self.basis, self.q = BASIS.astype(kind), q
+        self.first = np.ascontiguousarray(first.transpose(1, 2, 0).astype(kind))
+        self.second = np.ascontiguousarray(((first >> 13) @ BASIS + (1 << 17)).transpose(1, 2, 0).astype(kind))
+        self.px = np.ascontiguousarray(px.T.reshape(8, 8, -1).astype(kind))
+
+    def _of(self, second: np.ndarray, px: np.ndarray) -> np.ndarray:
+        d = second >> 18
+        np.clip(d, 0, 65535, out=d)
+        d -= px
+        d *= d
+        return d.reshape(64, -1).sum(axis=0, dtype=np.int64)
+
+    def all(self) -> np.ndarray:
+        return self._of(self.second, self.px)
+
+    def at(self, k: int, own: np.ndarray) -> None:
+        """Trials are of level k of these blocks."""
+        self.u, self.v = divmod(int(SCAN[k]), 8)
+        self.step = int(self.q[k])
+        self.column = self.first[:, self.v].take(own, axis=1)
+        self.seconds, self.pxs = self.second.take(own, axis=2), self.px.take(own, axis=2)
+
+    def _moved(self, change: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The column after the change, and what it adds to the second sums."""
+        new = column + self.basis[self.u][:, None] * (change * self.step).astype(column.dtype)
+        return new, ((new >> 13) - (column >> 13))[:, None] * self.basis[self.v][:, None]
+
+    def trial(self, change: np.ndarray) -> np.ndarray:
+        add = self._moved(change, self.column)[1]
+        add += self.seconds
+        return self._of(add, self.pxs)
+
+    def take(self, own: np.ndarray, change: np.ndarray) -> None:
+        i = np.flatnonzero(change)
+        new, add = self._moved(change[i], self.column[:, i])
+        self.first[:, self.v, own[i]] = new
+        self.second[:, :, own[i]] += add
+
+
+class _Coefficients:
+    """Distortion of coefficients: the sum before its rounding, of which a changed level replaces one term."""
+
+    def __init__(self, zz: np.ndarray, coeff: np.ndarray, q: np.ndarray):
+        self.zz, self.q, self.coeff = zz.copy(), q, coeff[:, SCAN]
+        self.sum = ((((zz * q) << 4) - self.coeff) ** 2).sum(axis=1)
+
+    def all(self) -> np.ndarray:
+        return (self.sum + 128) >> 8
+
+    def at(self, k: int, own: np.ndarray) -> None:
+        self.k, self.was, self.sums, self.c = k, self.zz[own, k], self.sum[own], self.coeff[own, k]
+        self.sums = self.sums - self._term(0)
+
+    def _term(self, change: np.ndarray | int) -> np.ndarray:
+        return ((((self.was + change) * self.q[self.k]) << 4) - self.c) ** 2
+
+    def trial(self, change: np.ndarray) -> np.ndarray:
+        return (self.sums + self._term(change) + 128) >> 8
+
+    def take(self, own: np.ndarray, change: np.ndarray) -> None:
+        self.sum[own] = self.sums + self._term(change)
+        self.zz[own, self.k] += change
+
+
+def _rdoq(zz: np.ndarray, coeff: np.ndarray, px: np.ndarray | None, q: np.ndarray, lam: np.ndarray, lengths: np.ndarray, zeros: bool, passes: int, row: np.ndarray) -> np.ndarray:
+    """rdoq() of some blocks. A trial's distortion and bits follow from what it changes: one coefficient, and the symbols from the non-zero level before it to the one after it."""
+    out, every = zz.copy(), np.arange(len(zz))
+    last = np.where(zz[:, 1:] != 0, np.arange(1, 64), 0).max(axis=1, initial=0)
+    dist = _Coefficients(zz, coeff, q) if px is None else _Samples(zz, px, q, passes)
+    costs, base, end = _run_costs(lengths).reshape(-1), row * 1024, lengths[row, 0]
+    kinds = category(np.arange(np.abs(zz).max(initial=0) + passes + 1))
+    bits = ac_bits(zz, lengths, row)
+    best = dist.all() + lam * bits
     for _ in range(passes):
+        places = np.where(out != 0, np.arange(64), 0)
+        places[:, 0] = 0
+        before = np.maximum.accumulate(places, axis=1)
+        following, n_following = np.full(len(zz), 64), np.zeros(len(zz), np.int64)  # the next non-zero level's place and category
         for k in range(63, 0, -1):
             own = np.flatnonzero((last >= k) & (zeros | (out[:, k] != 0)))
-            if not len(own):
-                continue
-            was = out[own, k]
-            take = was.copy()
-            for value, tried in ((0 * was, was != 0), (was + 1, was != -1), (was - 1, was != 1)):
-                trial = out[own].copy()
-                trial[:, k] = value
-                c = cost(trial, own)
-                less = tried & (c < best[own])
-                best[own[less]], take[less] = c[less], value[less]
-            out[own, k] = take
+            if len(own):
+                was, prev, nxt, b = out[own, k], before[own, k - 1], following[own], base[own]
+                more, own_lam, own_best, own_bits = nxt < 64, lam[own], best[own], bits[own]
+                after = b + n_following[own]
+                gap = np.where(more, costs[after + np.minimum(nxt - k - 1, 63) * 16], end[own] if k < 63 else 0)
+                gone = np.where(more, costs[after + np.minimum(nxt - prev - 1, 63) * 16], end[own])
+                run = b + (k - prev - 1) * 16
+                of = lambda v: np.where(v != 0, costs[run + kinds[np.abs(v)]] + gap, gone)  # noqa: B023, E731
+                rest = own_bits - of(was)
+                change, now = np.zeros_like(was), own_bits
+                dist.at(k, own)
+                for value, tried in ((0 * was, was != 0), (was + 1, was != -1), (was - 1, was != 1)):
+                    n = rest + of(value)
+                    c = dist.trial(value - was) + own_lam * n
+                    less = tried & (c < own_best)
+                    own_best, change, now = np.where(less, c, own_best), np.where(less, value - was, change), np.where(less, n, now)
+                if change.any():
+                    dist.take(own, change)
+                    out[own, k], best[own], bits[own] = was + change, own_best, now
+            on = every[out[:, k] != 0]
+            following[on], n_following[on] = k, kinds[np.abs(out[on, k])]
     return out
 
 

@@ -248,40 +248,53 @@ def _lambdas(zz: list[np.ndarray], coeff: list[np.ndarray], cfg: Config, table:
 
 
 def encode_frame(planes: list[np.ndarray], cfg: Config) -> bytes:
+    return encode_frames([planes], cfg)[0]
+
+
+def encode_frames(frames: list[list[np.ndarray]], cfg: Config) -> list[bytes]:
+    """Streams of frames with equally many planes. Each has its own lambdas and tables; their blocks are transformed and optimised together."""
+    n = len(frames[0])
     h, v = cfg.sampling
     cols, rows = -(-cfg.width // (8 * h)), -(-cfg.height // (8 * v))
     mcus = rows * cols
     restart = cols if cfg.restart < 0 else cfg.restart
-    shape = [(h, v), *[(1, 1)] * (len(planes) - 1)]
-    quant = [T.quant_table(cfg.quality, c, cfg.layout) for c in range(min(2, len(planes)))]
-    px = [_blocks(p, rows, cols, *s) for p, s in zip(planes, shape)]
-    coeff = [K.forward_dct(p) for p in px]
-    table = [0, 1, 1][: len(planes)]
-    zz = [K.quantise(c, np.array(quant[t])) for c, t in zip(coeff, table)]
-    codes = {k: T.standard(*k) for t in set(table) for k in (("DC", t), ("AC", t))}
+    shape = [(h, v), *[(1, 1)] * (n - 1)]
+    quant = [T.quant_table(cfg.quality, c, cfg.layout) for c in range(min(2, n))]
+    table = [0, 1, 1][:n]
+    # by component: a row of blocks per frame
+    px = [np.stack([_blocks(f[c], rows, cols, *s) for f in frames]) for c, s in enumerate(shape)]
+    coeff = [K.forward_dct(p).reshape(p.shape) for p in px]
+    zz = [K.quantise(c.reshape(-1, 64), np.array(quant[t])).reshape(c.shape) for c, t in zip(coeff, table)]
+    codes = [{k: T.standard(*k) for t in set(table) for k in (("DC", t), ("AC", t))} for _ in frames]
     slice_of = [np.repeat(np.arange(mcus) // (restart or mcus), s[0] * s[1]) for s in shape]
     for _ in range(cfg.picture_passes):
-        made = {k: T.canonical(*c) for k, c in codes.items()}
+        made = [{k: T.canonical(*c) for k, c in own.items()} for own in codes]
         if cfg.optimise_coefficients:
-            lam = _lambdas(zz, coeff, cfg, table, slice_of, made)
-            zz = [K.rdoq(z, c, p if cfg.exact_distortion else None, np.array(quant[t]), np.full(len(z), lm_), code_lengths(made["AC", t]), cfg.process_zeros, cfg.block_passes) for z, c, p, t, lm_ in zip(zz, coeff, px, table, lam)]
+            lam = [_lambdas([z[f] for z in zz], [c[f] for c in coeff], cfg, table, slice_of, m) for f, m in enumerate(made)]
+            for i, t in enumerate(table):
+                of = np.repeat(np.arange(len(frames)), zz[i].shape[1])
+                lengths = np.stack([code_lengths(m["AC", t]) for m in made])
+                flat = [x.reshape(-1, 64) for x in (zz[i], coeff[i], px[i])]
+                zz[i] = K.rdoq(flat[0], flat[1], flat[2] if cfg.exact_distortion else None, np.array(quant[t]), np.array([own[i] for own in lam])[of], lengths, cfg.process_zeros, cfg.block_passes, of).reshape(zz[i].shape)
         if cfg.optimise_tables:
-            for t in set(table):
-                both = [_symbol_counts(z, s) for z, s, t_ in zip(zz, slice_of, table) if t_ == t]
-                for i, kind in enumerate(("DC", "AC")):
-                    total: dict[int, int] = {}
-                    for x in both:
-                        for s, n in x[i].items():
-                            total[s] = total.get(s, 0) + n
-                    codes[kind, t] = K.optimal_lengths(total)
-    made = {k: T.canonical(*c) for k, c in codes.items()}
+            for f, own in enumerate(codes):
+                for t in set(table):
+                    both = [_symbol_counts(z[f], s) for z, s, t_ in zip(zz, slice_of, table) if t_ == t]
+                    for i, kind in enumerate(("DC", "AC")):
+                        total: dict[int, int] = {}
+                        for x in both:
+                            for s, m in x[i].items():
+                                total[s] = total.get(s, 0) + m
+                        own[kind, t] = K.optimal_lengths(total)
     per = [s[0] * s[1] for s in shape]
-    order = np.concatenate([z.reshape(mcus, n, 64) for z, n in zip(zz, per)], axis=1)
-    cmps = [c for c, n in enumerate(per) for _ in range(n)]
-    pairs = [(made["DC", t], made["AC", t]) for t in table]
-    step = restart or mcus
-    slices = [K.pack(part.reshape(-1, 64), cmps * len(part), pairs)[0] for part in (order[i : i + step] for i in range(0, mcus, step))]
-    return jfif.assemble(jfif.headers(cfg.width, cfg.height, cfg.chroma, quant, [(*k, *codes[k]) for k in sorted(codes, key=lambda k: (k[1], k[0] == "AC"))], restart), slices)
+    cmps, step, out = [c for c, m in enumerate(per) for _ in range(m)], restart or mcus, []
+    for f, own in enumerate(codes):
+        made_f = {k: T.canonical(*c) for k, c in own.items()}
+        order = np.concatenate([z[f].reshape(mcus, m, 64) for z, m in zip(zz, per)], axis=1)
+        pairs = [(made_f["DC", t], made_f["AC", t]) for t in table]
+        slices = [K.pack(part.reshape(-1, 64), cmps * len(part), pairs)[0] for part in (order[i : i + step] for i in range(0, mcus, step))]
+        out.append(jfif.assemble(jfif.headers(cfg.width, cfg.height, cfg.chroma, quant, [(*k, *own[k]) for k in sorted(own, key=lambda k: (k[1], k[0] == "AC"))], restart), slices))
+    return out
 
 
 def decode_frame(data: bytes, most: int = 255) -> tuple[int, int, list[np.ndarray]]:
@@ -305,16 +318,28 @@ def decode_frame(data: bytes, most: int = 255) -> tuple[int, int, list[np.ndarra
     return width, height, planes
 
 
-def encode(frames: DataFrame, cfg: Config) -> DataFrame:
-    """frames: frame, planes (arrays of samples: luma and, if not 4:0:0, two chroma planes of their size). Adds jpeg."""
+def _groups(batches: Iterator[pa.RecordBatch], cfg: Config, most: int = 1 << 17) -> Iterator[tuple[pa.Array, list[list[np.ndarray]]]]:
+    """Numbers and planes of successive frames: of `most` samples together at most, or one frame. Frames of a group have equally many planes."""
     h, v = cfg.sampling
     shape = [(cfg.height, cfg.width), *[(-(-cfg.height // v), -(-cfg.width // h))] * 2]
+    step = max(1, most // (cfg.height * cfg.width))
+    for batch in batches:
+        counts = batch.column("planes").value_lengths().to_pylist()
+        at = 0
+        while at < batch.num_rows:
+            n = next((i for i in range(at, min(at + step, batch.num_rows)) if counts[i] != counts[at]), min(at + step, batch.num_rows)) - at
+            part = batch.column("planes").slice(at, n)
+            frames = [[p.values.to_numpy().astype(np.int64).reshape(s) for p, s in zip(planes.values, shape)] for planes in part]
+            yield batch.column("frame").slice(at, n), frames
+            at += n
+
+
+def encode(frames: DataFrame, cfg: Config) -> DataFrame:
+    """frames: frame, planes (arrays of samples: luma and, if not 4:0:0, two chroma planes of their size). Adds jpeg."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for frame, planes in zip(batch.column("frame").to_pylist(), batch.column("planes").to_pylist()):
-                data = encode_frame([np.array(p, np.int64).reshape(s) for p, s in zip(planes, shape)], cfg)
-                yield pa.RecordBatch.from_arrays([pa.array([frame], pa.int32()), pa.array([data], pa.binary())], names=["frame", "jpeg"])
+        for frame, planes in _groups(batches, cfg):
+            yield pa.RecordBatch.from_arrays([frame, pa.array(encode_frames(planes, cfg), pa.binary())], names=["frame", "jpeg"])
 
     return frames.select("frame", "planes").mapInArrow(run, "frame int, jpeg binary")
 
@@ -390,11 +415,17 @@ def replaced(cfg: Config, **changes) -> Config:
 
 
 def compare(frames: DataFrame, a: Config, b: Config) -> DataFrame:
-    """frame, and for both configurations the bytes and the squared error of the decoded samples."""
-
-    def measured(cfg: Config, tag: str) -> DataFrame:
-        jpeg = encode(frames, cfg)
-        ssd = evaluate(frames, decode(jpeg)).select("frame", F.col("ssd").alias(f"ssd_{tag}"))
-        return jpeg.select("frame", F.octet_length("jpeg").alias(f"bytes_{tag}")).join(ssd, "frame")
+    """frame, and for both configurations the bytes and the squared error of the decoded samples. A task encodes, decodes and compares its frames, so each is coded once."""
+    if (a.width, a.height, a.chroma) != (b.width, b.height, b.chroma):
+        raise ValueError("both configurations need frames of one size")
 
-    return measured(a, "a").join(measured(b, "b"), "frame")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame, planes in _groups(batches, a):
+            out = [frame]
+            for cfg in (a, b):
+                streams = encode_frames(planes, cfg)
+                ssd = [sum(int(((x - y) ** 2).sum()) for x, y in zip(p, decode_frame(d)[2])) for p, d in zip(planes, streams)]
+                out += [pa.array(map(len, streams), pa.int32()), pa.array(ssd, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, names=["frame", "bytes_a", "ssd_a", "bytes_b", "ssd_b"])
+
+    return frames.select("frame", "planes").mapInArrow(run, "frame int, bytes_a int, ssd_a bigint, bytes_b int, ssd_b bigint")
